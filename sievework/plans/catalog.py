@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "texts")
+MODULES = ("retrieval", "texts", "evaluation")
 
 
 def _all(name: str) -> dict:
