@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,9 +24,9 @@ def text_corpus(spark: SparkSession, root: str) -> DataFrame:
     its extension.
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md}").format("text").option("wholetext", "true").load(root)
-    prefix = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    inner = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z]+:/*(?=/)|^[a-z]+://[^/]*", "")
-    relative = F.ltrim(F.lit("/"), F.replace(F.url_decode(inner), F.lit(prefix), F.lit("")))
+    prefix = re.sub("^[a-z0-9]+:(?://[^/]*)?", "", root.rstrip("/"))
+    inner = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:(?://[^/]*)?", "")
+    relative = F.ltrim(F.replace(F.url_decode(inner), F.lit(prefix), F.lit("")), F.lit("/"))
     parts = F.split(relative, "/")
     external = F.when(relative.rlike(r"(^|/)doc\.txt$"), F.element_at(parts, -2)).otherwise(F.regexp_replace(relative, r"\.[^./]+$", ""))
     return files.select(F.get(parts, F.lit(0)).alias("source_code"), external.alias("external_id"), F.col("value").alias("text"), relative.alias("path"))
