@@ -315,6 +315,30 @@ def best_chain(text: str, lang: Language) -> tuple[int, float]:
     return best, gain
 
 
+def alphabetic(text: str) -> int:
+    """Letters of the known alphabets."""
+    c = class_table()[code_points(text)]
+    return int(((c > 0) & (c < ODD)).sum())
+
+
+def trimmed(text: str, start: int, stop: int, chain: int, lang: Language) -> tuple[int, int]:
+    """The stretch without words at its ends that the chain does not make any likelier."""
+    spans = [(start + a, start + b) for a, b in (m.span() for m in _TOKEN.finditer(text[start:stop]))]
+
+    def better(span: tuple[int, int]) -> bool:
+        word = text[span[0] : span[1]]
+        plain = undo(word, CHAINS[chain])
+        # Signs in place of letters are likelier too, but no reading.
+        loses = "utf-8" not in CHAINS[chain] and alphabetic(plain) < alphabetic(word)
+        return plain != word and not loses and lang.score(plain)[0] > lang.score(word)[0]
+
+    while spans and not better(spans[0]):
+        spans.pop(0)
+    while spans and not better(spans[-1]):
+        spans.pop()
+    return (spans[0][0], spans[-1][1]) if spans else (start, stop)
+
+
 def learn(pairs: pd.DataFrame, hidden: np.ndarray, chain: tuple[str, ...] | None, rounds: int = 40) -> dict[str, str]:
     """Symbol to letter by expectation-maximization on symbol bigrams (s1, s2, n).
 
@@ -386,8 +410,10 @@ def _segments(texts: DataFrame, counts: np.ndarray) -> DataFrame:
                 if lost := lost_letters(text):
                     out.append((doc, source, 0, 0, "", -1, 0.0, 0, lost))
                 for s, e in stretches(text, lang):
+                    chain, gain = best_chain(text[s:e], lang)
+                    if chain >= 0:
+                        s, e = trimmed(text, s, e, chain, lang)
                     piece = text[s:e]
-                    chain, gain = best_chain(piece, lang)
                     out.append((doc, source, s, e, piece, chain, gain, lang.score(piece)[1], 0))
             cols = list(zip(*out)) or [()] * 9
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
