@@ -8,6 +8,7 @@ executors, so the loss of one costs nothing but the running task.
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
@@ -58,17 +59,24 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application: it need not be installed there."""
+    """Send the package to the executors, once per application: it need not be installed there.
+
+    The archive lies in the shared folder like every other file executors read.
+    """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="sievework-")) / "sievework.zip"
-    atexit.register(shutil.rmtree, archive.parent, True)
+    package, archive = Path(__file__).resolve().parent, io.BytesIO()
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f"{package.name}/{f.relative_to(package)}")
-    spark.sparkContext.addPyFile(str(archive))
+    path = f"{shared_root(spark)}/code/{uuid.uuid4().hex[:12]}/{package.name}.zip"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target)
+    out.write(archive.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)
 
 

@@ -9,19 +9,24 @@ from sievework.durable import ship
 from sievework.functions import text as tx
 from sievework.operators import chunkers, cleaning, lines, questions
 from sievework.plans.retrieval import sql_terms
-from sievework.sources import load
+from sievework.sources import load, one_each
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", "text")
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Loaded records, some of which were delivered twice."""
+    return one_each(load(spark, sf, "local_document").select("doc_id", "text"), "doc_id")
+
+
 def boilerplate_lines(spark, sf):
-    return lines.boilerplate_lines(_docs(spark, sf))
+    return lines.boilerplate_lines(_records(spark, sf))
 
 
 def remove_boilerplate(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _records(spark, sf)
     return lines.without_boilerplate(docs, lines.boilerplate_lines(docs))
 
 
@@ -174,7 +179,8 @@ def _noise(x: str) -> str:
 
 
 _BOILER = f"""
-filled as (select doc_id, text from documents where length({_normal('text')}) > 0),
+record as (select distinct doc_id, text from local_document),
+filled as (select doc_id, text from record where length({_normal('text')}) > 0),
 bl as (select distinct doc_id, unnest({_lines('text')}) as line from filled),
 boiler as (select {_fold('line')} as line_key, count(distinct doc_id) as docs from bl where line <> '' and length(line) <= 120 and not {_legal('line')} group by 1
   having count(distinct doc_id) > 0.05 * (select count(*) from filled))"""
@@ -211,7 +217,7 @@ def _line_query(where: str) -> str:
 
 SQL = {
     "boilerplate_lines": f"with {_BOILER} select line_key, docs from boiler",
-    "remove_boilerplate": f"with {_BOILER}, g as (select list(line_key) as gone from boiler) select doc_id, {_kept('text', f'{_legal(chr(120))} or not list_contains(coalesce(gone, []), {_fold(chr(120))})')} as text from documents, g",
+    "remove_boilerplate": f"with {_BOILER}, g as (select list(line_key) as gone from boiler) select doc_id, {_kept('text', f'{_legal(chr(120))} or not list_contains(coalesce(gone, []), {_fold(chr(120))})')} as text from record, g",
     "nav_noise_lines": _line_query(_navigation("line")),
     "aggressive_noise_lines": _line_query(_noise("line")),
     "legal_lines": f"select doc_id, count(*) as legal_lines from ({_line_query(_legal('line'))}) group by doc_id",

@@ -1,3 +1,5 @@
-from sievework.sources.tables import load, with_columns
+"""Reading and writing tables and files."""
 
-__all__ = ["load", "with_columns"]
+from sievework.sources.tables import load, one_each, with_columns
+
+__all__ = ["load", "one_each", "with_columns"]
