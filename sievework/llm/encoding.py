@@ -119,10 +119,9 @@ class Language:
         self.logp[0, 0] = 0.0
         seen = n.sum() or 1.0
         self.usual = float((n * self.logp).sum() / seen)
-
-    def per_char(self, text: str) -> np.ndarray:
-        c = class_table()[code_points(" " + text + " ")]
-        return self.logp[c[:-1], c[1:]]
+        # What each step speaks against the language, more than a few nats counting as few.
+        self.against = np.minimum(CHANCE - self.logp, 8.0).astype(np.float32)
+        self.against[0, 0] = 0.0
 
     def score(self, text: str) -> tuple[float, int]:
         """Log likelihood and number of letters."""
@@ -160,11 +159,11 @@ def stretches(text: str, lang: Language) -> list[tuple[int, int]]:
     """(start, end) of the runs of words that don't read as language."""
     if len(text) < 4:
         return []
-    gain = np.minimum(CHANCE - lang.per_char(text), 8.0)
-    c = class_table()[code_points(" " + text + " ")]
-    gain[(c[:-1] == 0) & (c[1:] == 0)] = 0.0
-    total = np.cumsum(gain)
-    if (total - np.minimum.accumulate(total)).max() < SUSPECT and not _LEAD.search(text):
+    c = np.zeros(len(text) + 2, np.int32)
+    c[1:-1] = class_table()[code_points(text)]
+    total = np.cumsum(lang.against.ravel()[c[:-1] * CLASSES + c[1:]], dtype=np.float64)
+    led = bool(_LEAD.search(text))
+    if not led and (total - np.minimum.accumulate(total)).max() < SUSPECT:
         return []
     spans = [m.span() for m in _TOKEN.finditer(text)]
     if not spans:
@@ -185,11 +184,11 @@ def stretches(text: str, lang: Language) -> list[tuple[int, int]]:
         marks.append(state)
         state = (not to_garbled) if state else to_clean
     marks.reverse()
+    if led:
+        marks = [m or bool(_LEAD.search(text, a, b)) for m, (a, b) in zip(marks, spans)]
     out, i = [], 0
     while i < len(spans):
         if not marks[i]:
-            if _LEAD.search(text, spans[i][0], spans[i][1]):
-                out.append(spans[i])
             i += 1
             continue
         j = i
@@ -477,19 +476,35 @@ def read_through(piece: str, chain: int, mapping: dict[str, str], lang: Language
 
 
 _TURN = re.compile(r"[a-zа-яё][A-ZА-ЯЁ]")
+_SIGN = re.compile("(?:â€|вЂ).")
+#: Letters that a stretch of Russian letters alone must have: fewer may be a name or a slip.
+LEAST_LETTERS = 12
 
 
 def is_case(piece: str, plain: str, gain: float, lang: Language, chain: int) -> bool:
-    """Whether reading through the mapping makes language of the stretch."""
+    """Whether reading through the mapping makes language of the stretch.
+
+    Judged are the words the mapping changes: unbroken runs and numbers that stand among them
+    are as unlikely before as after.
+    """
     if plain == piece:
         return False
-    score, letters = lang.score(plain)
-    if letters < 3:  # a sign alone: a dash or quotation mark of three bytes
-        return chain >= 0 and CHAINS[chain][0] == "utf-8" and bool(_LEAD.search(piece)) and all(ch in SIGNS or ch.isascii() for ch in plain)
-    if len(_TURN.findall(plain)) > len(_TURN.findall(piece)):  # a rare name, not a swap
+    if chain < 0:
+        score, letters = lang.score(plain)
+        return gain >= GAIN and letters >= 60 and gain / letters >= GAIN_PER_LETTER and score / letters > lang.usual - 0.25
+    pages = CHAINS[chain]
+    if pages[0] == "utf-8" and any(len(p := undo(m.group(), pages)) == 1 and p in SIGNS for m in _SIGN.finditer(piece)):
+        return True  # a dash, quotation mark or apostrophe of three bytes
+    words = [(w, p) for w in _TOKEN.findall(piece) if (p := undo(w, pages)) != w]
+    raw, read = " ".join(w for w, _ in words), " ".join(p for _, p in words)
+    score, letters = lang.score(read)
+    if letters < 3:
+        return False
+    if all(ch in RUSSIAN for ch in raw.lower() if ch.isalpha()) and (letters < LEAST_LETTERS or len(words) < 2):
         return False
-    fits = score / letters > lang.usual - 1.0
-    return gain >= GAIN and gain / letters >= GAIN_PER_LETTER and fits and (chain >= 0 or letters >= 60 and score / letters > lang.usual - 0.25)
+    turns = len(_TURN.findall(read)) - len(_TURN.findall(raw))
+    gain = score - lang.score(raw)[0]
+    return gain >= GAIN and gain / letters >= GAIN_PER_LETTER and score / letters > lang.usual - 1.0 and turns <= 0.02 * letters
 
 
 def _texts(records: DataFrame) -> DataFrame:
