@@ -30,6 +30,9 @@ COPY_HELD, COPY_CHANGED = 0.7, 0.25
 #: An answer without a final stop is complete if its last words end a sentence this often.
 ENDS_OFTEN = 0.2
 
+#: Words of the longest sentence that declines; longer ones say something.
+LONGEST_REFUSAL = 25
+
 _CITE = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]")
 _BLANK = re.compile("[\\s​-‏⁠﻿]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -44,9 +47,14 @@ REFUSAL = re.compile(
     r"|\bнедостаточно\b|\bне да[её]т\b.*\bконсультаци|\bза рамки\b|\bвне (?:моей|нашей) (?:области|компетенции)|\bничего подходящего не\b|\b(?:мне|нам) ничего не известно"
     r"|\bслишком скуд\w+|\bнет (?:сведений|данных|информации)\b|\bответа не будет\b|\bне содерж(?:ит|ат)\b.*\b(?:сведени|ответ|информаци|данных)|\bотказываюсь\b|\bвынужден\w* отказать"
     r"|\b(?:cannot|can not|can't|unable to|not able to|could not)\b|\b(?:have|has|must|need) to decline\b|\bmust decline\b|\boutside (?:what|the scope|my)\b|\bnothing in the (?:context|excerpts|material)"
-    r"|\bdo(?:es)? not contain\b|\bno answer can\b|\bnot enough (?:data|information|context)\b|\btoo (?:scarce|thin|short) (?:to|for)\b|\bi know nothing\b|\bi am not (?:allowed|permitted)\b|\brefrain\b|\bno (?:suitable|relevant) (?:material|information|data)\b|\bwon't\b|\bwill not answer\b",
+    r"|\bdo(?:es)? not contain\b|\bno answer can\b|\bnot enough (?:data|information|context)\b|\btoo (?:scarce|thin|short) (?:to|for)\b|\bi know nothing\b|\bi am not (?:allowed|permitted)\b|\brefrain\b|\bno (?:suitable|relevant|useful) (?:material|information|data)\b|\bwon't\b|\bwill not answer\b"
+    r"|\bнечего\b|\bпуст[аоы]?\b|\bзатрудня\w+|\bне (?:располага|облада|распола)\w+|\bне (?:знаю|знаем|отвечу|дам|дадим|готов|готовы|уполномочен\w*|удалось (?:найти|подобрать|ответить)|нашлось|найдено|хватает)\b|\bничего (?:не нашлось|не найдено|полезного)"
+    r"|\bне (?:в|входит в) (?:моей|нашей|мою|нашу) (?:компетенци|област)|\bнет (?:ответа|возможности|основани\w+|материалов)\b|\bмало (?:данных|сведений|информации)\b|\bбез ответа\b"
+    r"|\bnothing (?:to (?:say|add|suggest|offer)|useful|relevant|suitable|was found)\b|\b(?:is|are|was|were) empty\b|\binsufficient\b|\bbeyond (?:my|the scope|what)\b|\b(?:do not|don't) know\b|\b(?:could not|did not|couldn't|didn't) find\b|\bnot (?:in a position|authori[sz]ed|permitted|allowed) to\b|\bthere is (?:nothing|no answer|no information)\b|\brefuse\b|\bno comment\b",
     re.I,
 )
+# What turns a reservation into an answer to come.
+RESERVE = re.compile(r"\b(?:однако|but the|however|зато)\b|\bно главное\b", re.I)
 COURTESY = re.compile(
     r"^(?:(?:здравствуйте|добрый день|спасибо за вопрос|спасибо|к сожалению|увы|извините|простите|сожале\w+|честно говоря|hello|dear user|thank you(?: for .*)?|thanks(?: for .*)?|sorry|i am sorry|unfortunately|regrettably)[\s,.!:]*)+$"
     r"|^(?:лучше )?(?:обратитесь|задайте|задать вопрос|уточните|попробуйте|переформулируйте|пожалуйста|проконсультируйтесь|рекомендую обратиться|советую)\b"
@@ -115,7 +123,7 @@ def sentences(text: str) -> list[str]:
 def is_refusal(answer: str) -> bool:
     """Some sentence declines and every other one is a courtesy."""
     parts = sentences(_CITE.sub("", answer))
-    declined = [bool(REFUSAL.search(s)) and not re.search(r"\b(?:однако|however)\b", s, re.I) for s in parts]
+    declined = [bool(REFUSAL.search(s)) and len(s.split()) <= LONGEST_REFUSAL and not RESERVE.search(s) for s in parts]
     return any(declined) and all(d or COURTESY.search(s) for d, s in zip(declined, parts))
 
 

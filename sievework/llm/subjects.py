@@ -36,7 +36,11 @@ SENTENCES = 3
 RARE = 5
 
 _NOT_LATIN = re.compile("[^\u0000-\u024f]")
-_STEP = re.compile(r"[^\W\d_]+|[.!?…]+(?=\s|$)|\n")
+#: A sentence of fewer words is a heading, a number or a rest, and speaks for no area.
+LEAST_WORDS = 4
+
+# A line break ends a sentence unless the next line goes on in lower case.
+_STEP = re.compile(r"[^\W\d_]+|[.!?…]+(?=\s|$)|\n[^\S\n]*(?=\n|[^\sa-zа-яё]|$)")
 
 
 class Vocabulary:
@@ -57,18 +61,16 @@ class Vocabulary:
 
 
 def sentence_words(text: str) -> list[list[str]]:
-    """The words of each sentence that has any; digits are no words."""
+    """The words of each sentence that has enough of them; digits are no words."""
     out, current = [], []
     for step in _STEP.findall(text):
         if step[0] in ".!?…\n":
-            if current:
-                out.append(current)
-                current = []
+            out.append(current)
+            current = []
         else:
             current.append(step)
-    if current:
-        out.append(current)
-    return out
+    out.append(current)
+    return [s for s in out if len(s) >= LEAST_WORDS]
 
 
 class Model:
@@ -151,7 +153,8 @@ class Scorer:
             numbers.append(self._word(step) if i is None else i)
         if not numbers:
             return np.zeros((0, len(self.model.areas)))
-        total = np.add.reduceat(self.shares[numbers], starts)
+        words = np.diff([*starts, len(numbers)])
+        total = np.add.reduceat(self.shares[numbers], starts)[words >= LEAST_WORDS]
         return 1 / (1 + np.exp(-np.clip(total[:, :-1] / total[:, -1:] + self.model.bias, -30, 30)))
 
     def counts(self, text: str) -> np.ndarray:
