@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 
 # Fixed value: words of three or more letters or digits count as search terms.
 TERM = "[0-9A-Za-zА-Яа-яЁё]{3,}"
+FOLDED_TERM = "[0-9a-zа-я]{3,}"
 # Fixed value: the white space that Python's strip() removes.
 STRIP = r"[\s\x0b\x1c-\x1f\x85   -     　]"
 
 
 def fold(text: Column) -> Column:
     """Lower case, io written as ie."""
-    return F.translate(F.lower(text), "ё", "е")
+    # ``replace`` searches bytes; ``translate`` would look every character up.
+    return F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
 
 
 def terms(text: Column) -> Column:
     """array<string> of folded search terms in order; an empty array for null."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), fold)
+    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(FOLDED_TERM), F.lit(0))
+
+
+def count_terms(text: Column) -> Column:
+    """The number of search terms, without building them."""
+    return F.regexp_count(fold(F.coalesce(text, F.lit(""))), F.lit(FOLDED_TERM))
 
 
 def strip(text: Column) -> Column:

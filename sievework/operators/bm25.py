@@ -5,26 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import terms
+from sievework.durable import durable
+from sievework.functions.text import count_terms, terms
 
 K1, B = 1.5, 0.75
 #: Query terms are sent to every executor up to this number (a few MB), else joined by key.
 BROADCAST_TERMS = 200_000
 
 
-def documents_with_terms(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tokens, dl) of documents with at least one term."""
-    return corpus.select(F.col(key).alias("doc_id"), terms(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens")).filter("dl > 0")
-
-
 def corpus_stats(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (n_docs, avgdl)."""
-    return documents_with_terms(corpus, key, text).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    """One row (n_docs, avgdl) over the documents with at least one term."""
+    return corpus.select(count_terms(F.col(text)).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def term_frequencies(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, df): the number of documents that hold each term."""
-    return documents_with_terms(corpus, key, text).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return corpus.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -44,14 +40,17 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     ``corpus``: ``doc_id, text``; ``queries``: ``query_id, query``.  Only postings of terms that
     a query holds leave the scan.
     """
-    docs = documents_with_terms(corpus)
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         wanted, asked = F.broadcast(wanted), F.broadcast(asked)
-    postings = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    # The number of terms is counted below the generator, once for each document.
+    counted = corpus.select("doc_id", "text", count_terms(F.col("text")).alias("dl"))
+    found = counted.select("doc_id", "dl", F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
+    # Frequencies and scores both read the postings, so they are written once.
+    postings = durable(found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    stats = corpus_stats(corpus)
     # One row of statistics, and as many as there are query terms of frequencies.
     weighted = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -58,8 +58,8 @@ def cleaned(corpus: DataFrame, profile: str, key: str = "doc_id", text: str = "t
             out = out.withColumn("text", lines.without_noise(F.col("text"))).withColumn("text", lines.without_repeats(F.col("text")))
         if profile == "clean_no_boilerplate":
             gone = lines.boilerplate_lines(corpus, text).agg(F.collect_set("line_key").alias("gone"))
-            kept = F.filter(lines.normal_lines(F.col("text")), lambda x: lines.is_legal(x) | ~F.array_contains(F.col("gone"), lines.fold(x)))
-            out = out.crossJoin(F.broadcast(gone)).withColumn("text", lines.joined(kept)).drop("gone")
+            rest = lines.kept(F.col("text"), lambda x: lines.legal_folded(x["folded"]) | ~F.array_contains(F.col("gone"), x["folded"]))
+            out = out.crossJoin(F.broadcast(gone)).withColumn("text", rest).drop("gone")
     return out.withColumnRenamed("key", key)
 
 

@@ -13,6 +13,7 @@ from sievework.functions.text import fold
 
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\x{2028}\\x{2029}]"
 CONTROL = "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\x{ad}\\x{600}-\\x{605}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{feff}]"
+SOMETHING = CONTROL.replace("[", "[^\\s\\x{a0}", 1)
 _B, _E = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
 
 # Words and patterns of lines with legal content.
@@ -22,8 +23,7 @@ LEGAL_WORDS = (
     "ндфл", "ндс", "усн", "нпд", "псн", "енвд", "налоговый агент", "налогоплательщик", "декларация", "уведомление",
     "вычет", "штраф", "пени", "срок", "доход", "расход",
 )
-LEGAL = "|".join((
-    *LEGAL_WORDS,
+LEGAL_PATTERNS = "|".join((
     _B + r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}" + _E,
     _B + r"[0-9]{1,2}\s+(?:январ[ья]|феврал[ья]|марта?|апрел[ья]|ма[йя]|июн[ья]|июл[ья]|август[ае]?|сентябр[ья]|октябр[ья]|ноябр[ья]|декабр[ья])\s+[0-9]{4}" + _E,
     r"№\s*[\p{L}\p{N}_/.\-]",
@@ -33,6 +33,7 @@ LEGAL = "|".join((
     r"^\s*(?:[0-9]+\.\s+|[а-яa-z]\)\s+)",
     _B + r"[0-9][0-9\s]*(?:[.,][0-9]+)?\s*(?:руб" + _E + r"|руб\.[\p{L}\p{N}_]|₽[\p{L}\p{N}_])",
 ))
+LEGAL = "|".join((*LEGAL_WORDS, LEGAL_PATTERNS))
 # Lines that navigate a site.
 NAVIGATION = "|".join((
     r"^.{1,160}[>›»]\s*[^>›»]{1,80}(?:[>›»]+\s*[^>›»]{1,80})*[>›»]*\s*$",
@@ -50,21 +51,30 @@ def split_lines(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    spaced = F.regexp_replace(F.translate(line, " ", " "), CONTROL, "")
+    spaced = F.regexp_replace(F.replace(line, F.lit(" "), F.lit(" ")), CONTROL, "")
     return F.regexp_replace(F.regexp_replace(spaced, "[ \\t]{2,}", " "), "^\\s+|\\s+$", "")
 
 
 def normal_text(text: Column) -> Column:
     """White space put in order (composition of accents apart, which needs no plan of its own
     where the text is composed already)."""
-    t = F.regexp_replace(F.translate(text, " ﻿", " "), "\\r\\n|\\r", "\n")
+    t = F.regexp_replace(F.replace(F.replace(text, F.lit(" "), F.lit(" ")), F.lit("﻿"), F.lit("")), "\\r\\n|\\r", "\n")
     t = F.regexp_replace(F.regexp_replace(t, CONTROL, ""), "[ \\t]{2,}", " ")
     t = F.regexp_replace(F.regexp_replace(t, "[ \\t]+(\\n|$)", "$1"), "\\n{3,}", "\n\n")
     return F.regexp_replace(t, "^\\s+|\\s+$", "")
 
 
 def is_legal(line: Column) -> Column:
-    return fold(line).rlike(LEGAL)
+    return legal_folded(fold(line))
+
+
+def legal_folded(folded: Column) -> Column:
+    """Words are looked for one by one, which is much faster than as one pattern; the patterns
+    are tried where no word stands."""
+    found = folded.contains(LEGAL_WORDS[0])
+    for word in LEGAL_WORDS[1:]:
+        found = found | folded.contains(word)
+    return found | folded.rlike(LEGAL_PATTERNS)
 
 
 def is_navigation(line: Column) -> Column:
@@ -81,6 +91,16 @@ def normal_lines(text: Column) -> Column:
     return F.transform(split_lines(F.coalesce(text, F.lit(""))), normal_line)
 
 
+def folded_lines(text: Column) -> Column:
+    """array<struct<line, folded>>: each line is folded once, however often it is looked at."""
+    return F.transform(normal_lines(text), lambda x: F.struct(x.alias("line"), fold(x).alias("folded")))
+
+
+def kept(text: Column, keep) -> Column:
+    """The text of the lines for which ``keep(line struct)`` holds."""
+    return joined(F.transform(F.filter(folded_lines(text), keep), lambda x: x["line"]))
+
+
 def joined(lines: Column) -> Column:
     return normal_text(F.array_join(lines, "\n"))
 
@@ -91,10 +111,10 @@ def boilerplate_lines(corpus: DataFrame, text: str = "text", share: float = SHAR
     ``corpus``: one row per document.  Lines are made distinct within their row, so the counts
     are summed map-side and only keys are shuffled.
     """
-    filled = corpus.select(F.col(text).alias("text")).filter(F.length(normal_text(F.col("text"))) > 0)
-    lines = F.filter(normal_lines(F.col("text")), lambda x: (x != "") & (F.length(x) <= longest))
-    keys = filled.select(F.explode(F.array_distinct(F.transform(lines, lambda x: F.struct(fold(x).alias("line_key"), is_legal(x).alias("legal"))))).alias("l"))
-    counts = keys.filter("not l.legal").groupBy("l.line_key").agg(F.count("*").alias("docs"))
+    filled = corpus.select(F.col(text).alias("text")).filter(F.col("text").rlike(SOMETHING))
+    short = F.filter(folded_lines(F.col("text")), lambda x: (x["line"] != "") & (F.length(x["line"]) <= longest))
+    keys = filled.select(F.explode(F.array_distinct(F.transform(F.filter(short, lambda x: ~legal_folded(x["folded"])), lambda x: x["folded"]))).alias("line_key"))
+    counts = keys.groupBy("line_key").agg(F.count("*").alias("docs"))
     total = filled.agg(F.count("*").alias("total"))
     return counts.crossJoin(F.broadcast(total)).filter(F.col("docs") > F.col("total") * share).select("line_key", "docs")
 
@@ -106,20 +126,28 @@ def without_boilerplate(corpus: DataFrame, boilerplate: DataFrame, key: str = "d
     times the lines of a text of it, which are sent along as one array.
     """
     gone = boilerplate.agg(F.collect_set("line_key").alias("gone"))
-    lines = F.filter(normal_lines(F.col(text)), lambda x: is_legal(x) | ~F.array_contains(F.col("gone"), fold(x)))
-    return corpus.select(key, text).crossJoin(F.broadcast(gone)).select(key, joined(lines).alias("text"))
+    rest = kept(F.col(text), lambda x: legal_folded(x["folded"]) | ~F.array_contains(F.col("gone"), x["folded"]))
+    return corpus.select(key, text).crossJoin(F.broadcast(gone)).select(key, rest.alias("text"))
 
 
 def without_navigation(text: Column) -> Column:
-    return joined(F.filter(normal_lines(text), lambda x: (x == "") | is_legal(x) | ~is_navigation(x)))
+    return kept(text, lambda x: (x["line"] == "") | legal_folded(x["folded"]) | ~x["folded"].rlike(NAVIGATION))
 
 
 def without_noise(text: Column) -> Column:
-    return joined(F.filter(normal_lines(text), lambda x: (x == "") | is_legal(x) | ~(is_navigation(x) | is_noise(x))))
+    return kept(text, lambda x: (x["line"] == "") | legal_folded(x["folded"]) | ~(x["folded"].rlike(NAVIGATION) | is_noise(x["line"])))
 
 
 def without_repeats(text: Column) -> Column:
     """The first of equal lines stays; lines of legal content all stay."""
-    lines = normal_lines(text)
-    keys = F.transform(lines, fold)
-    return joined(F.filter(lines, lambda x, i: (x == "") | is_legal(x) | (F.array_position(keys, fold(x)) == i + 1)))
+    # One pass over the lines: a line is appended unless its key is there already.
+    seen = F.struct(F.array().cast("array<string>").alias("lines"), F.array().cast("array<string>").alias("keys"))
+
+    def add(state: Column, x: Column) -> Column:
+        plain = (x["line"] == "") | legal_folded(x["folded"])
+        known = F.array_contains(state["keys"], x["folded"])
+        return F.when(plain, F.struct(F.array_append(state["lines"], x["line"]).alias("lines"), state["keys"].alias("keys"))).when(known, state).otherwise(
+            F.struct(F.array_append(state["lines"], x["line"]).alias("lines"), F.array_append(state["keys"], x["folded"]).alias("keys"))
+        )
+
+    return joined(F.aggregate(folded_lines(text), seen, add, lambda s: s["lines"]))
