@@ -9,7 +9,7 @@ from sievework.functions.text import html_escape, strip
 
 MARK = r"\[(\d+)\]"
 # Fixed value: a section of sources written by the answer itself.
-OWN_SOURCES = r"(?is)\n\s*(?:источники|sources)\s*:.*$"
+OWN_SOURCES = r"(?isu)\n\s*(?:источники|sources)\s*:.*$"
 
 
 def numbers(answer: Column) -> Column:
