@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.durable import durable, tune_arrow
@@ -28,6 +28,8 @@ from sievework.sources import with_columns
 BUCKETS, WIDTH = 1 << 15, 16
 #: Labelled documents the model is fitted on, at most; drawn by hash of their id.
 TRAIN_DOCUMENTS = 6_000
+#: Labelled ids that are sent to every executor; more are joined by key.
+FEW = 200_000
 PARTS, ROUNDS, EPOCHS, RATE = 8, 4, 3, 0.25
 BATCH = 64
 SENTENCES = 3
@@ -166,12 +168,16 @@ def training_rows(documents: DataFrame, labels: DataFrame, areas: list[str], lim
     clean = with_columns(labels, "doc_id", "subject_code").select("doc_id", F.lower(F.trim("subject_code")).alias("code")).filter(F.col("code").isin(areas))
     per_doc = clean.groupBy("doc_id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
     texts = with_columns(documents, "doc_id", "text").filter("text is not null")
-    known = texts.join(per_doc.filter("doc_id is not null"), "doc_id").dropDuplicates(["doc_id"])
     # Both scripts are wanted: up to a third of the draw is for texts mostly in Latin letters.
     latin = F.length(F.regexp_replace("text", "[^A-Za-z]", "")) * 2 > F.length("text")
-    place = F.row_number().over(Window.partitionBy("latin").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = known.select("doc_id", latin.alias("latin")).withColumn("place", place).filter(F.col("place") <= F.when(F.col("latin"), limit // 3).otherwise(limit - limit // 3)).select("doc_id")
-    return known.join(F.broadcast(drawn), "doc_id")
+    labelled = per_doc.filter("doc_id is not null")
+    if labelled.limit(FEW + 1).count() <= FEW:
+        labelled = F.broadcast(labelled)
+    # The draw is made on ids and codes: texts are fetched for what is drawn, not joined by key.
+    known = durable(texts.join(labelled, "doc_id").select("doc_id", "codes", latin.alias("latin")).dropDuplicates(["doc_id"]), "labelled")
+    first = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    drawn = first(known.filter("latin"), limit // 3).unionByName(first(known.filter("not latin"), limit - limit // 3)).select("doc_id", "codes")
+    return texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, limit: int = TRAIN_DOCUMENTS) -> Model | None:

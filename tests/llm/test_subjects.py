@@ -51,3 +51,12 @@ def test_empty_documents(spark):
     labels = spark.createDataFrame([(d, c) for d, _, codes in rows for c in codes], "doc_id bigint, subject_code string")
     model = fit(docs, labels, spark.createDataFrame([(c,) for c in AREAS], "subject_code string"))
     assert score(docs.filter(F.lit(False)), model).count() == 0
+
+
+def test_draw_is_bounded_and_of_both_scripts(spark):
+    from sievework.llm.subjects import training_rows
+
+    docs = spark.createDataFrame([(i, "english words only here" if i % 10 == 0 else "слова по-русски здесь") for i in range(200)] + [(7, "слова по-русски здесь")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "vat") for i in range(200)], "doc_id bigint, subject_code string")
+    rows = training_rows(docs, labels, ["vat"], 30).collect()
+    assert len(rows) == 30 and len({r.doc_id for r in rows}) == 30 and sum(r.doc_id % 10 == 0 for r in rows) == 10
