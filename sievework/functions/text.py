@@ -25,11 +25,6 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(FOLDED_TERM), F.lit(0))
 
 
-def count_terms(text: Column) -> Column:
-    """The number of search terms, without building them."""
-    return F.regexp_count(fold(F.coalesce(text, F.lit(""))), F.lit(FOLDED_TERM))
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{STRIP}+|{STRIP}+$", "")
 

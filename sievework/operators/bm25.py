@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.durable import durable
-from sievework.functions.text import count_terms, terms
+from sievework.durable import durable, tune_arrow
+from sievework.functions.text import terms
 
 K1, B = 1.5, 0.75
 #: Query terms are sent to every executor up to this number (a few MB), else joined by key.
 BROADCAST_TERMS = 200_000
+#: Queries scored in one pass.
+BLOCK = 2048
 
 
 def corpus_stats(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (n_docs, avgdl) over the documents with at least one term."""
-    return corpus.select(count_terms(F.col(text)).alias("dl")).filter("dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    dl = F.nullif(F.size(terms(F.col(text))), F.lit(0))
+    return corpus.select(dl.alias("dl")).agg(F.count("dl").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def term_frequencies(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,6 +41,24 @@ def top_per_query(scored: DataFrame, k: int, score: str = "score", tie: str = "d
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _postings(corpus: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, doc_id, dl, tf) of terms that a query holds, and (term, idf)."""
+    wanted = asked.select("term").distinct()
+    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    # Built and counted below the generator, so once for each document.
+    counted = corpus.select("doc_id", terms(F.col("text")).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("dl"))
+    found = counted.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    # Frequencies and scores both read the postings, so they are written once.
+    postings = durable(found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # One row of statistics, and as many of frequencies as there are query terms.
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = df.crossJoin(F.broadcast(corpus_stats(corpus))).select("term", "avgdl", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return postings.join(weighted, "term").select("term", "doc_id", part.alias("part")), weighted
+
+
 def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of every pair with a score above 0.
 
@@ -41,22 +66,89 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     a query holds leave the scan.
     """
     asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        wanted, asked = F.broadcast(wanted), F.broadcast(asked)
-    # The number of terms is counted below the generator, once for each document.
-    counted = corpus.select("doc_id", "text", count_terms(F.col("text")).alias("dl"))
-    found = counted.select("doc_id", "dl", F.explode(terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi")
-    # Frequencies and scores both read the postings, so they are written once.
-    postings = durable(found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(corpus)
-    # One row of statistics, and as many as there are query terms of frequencies.
-    weighted = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(weighted, "term").withColumn("part", part).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
+    parts, _ = _postings(corpus, asked)
+    return parts.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
+
 
+def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank).
 
-def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank)."""
-    return top_per_query(bm25_scores(corpus, queries), k)
+    Common terms pair nearly every query with nearly every document, so the pairs are not
+    built: postings are brought together by document, and each task multiplies its documents'
+    term weights with the queries' terms and keeps its own k best for each query.  Queries pass
+    in blocks.
+    """
+    spark = corpus.sparkSession
+    tune_arrow(spark, 50_000)
+    asked = query_terms(queries)
+    parts, _ = _postings(corpus, asked)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, doc_id bigint, score double"
+    by_doc = durable(parts.repartition("doc_id").sortWithinPartitions("doc_id"), "by-doc")
+    blocks = max(1, -(-asked.select("query_id").distinct().count() // block))
+    out = None
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = part.collect()  # the terms of about ``block`` queries
+        if not rows:
+            continue
+        ids = sorted({r[0] for r in rows})
+        at, words = {q: i for i, q in enumerate(ids)}, {}
+        for r in rows:
+            words.setdefault(r[1], []).append(at[r[0]])
+        index = {t: i for i, t in enumerate(words)}
+        matrix = np.zeros((len(words), len(ids)))
+        for t, qs in words.items():
+            matrix[index[t], qs] = 1.0
+        found = by_doc.mapInPandas(_ranker(ids, index, matrix, k), schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    return top_per_query(out, k)
+
+
+def _ranker(ids: list, index: dict[str, int], matrix: np.ndarray, k: int):
+    docs_at_once = max(16, 4_000_000 // max(1, len(index)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_s, best_d = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+
+        def add(docs: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+            nonlocal best_s, best_d
+            names, row = np.unique(docs, return_inverse=True)
+            for low in range(0, len(names), docs_at_once):
+                inside = (row >= low) & (row < low + docs_at_once)
+                size = min(docs_at_once, len(names) - low)
+                table = np.zeros((size, len(index)))
+                table[row[inside] - low, term[inside]] = weight[inside]
+                s = np.round((table @ matrix).T, 6)
+                s[s <= 0] = -np.inf
+                d = np.broadcast_to(names[low : low + size], s.shape)
+                s, d = np.concatenate((best_s, s), 1), np.concatenate((best_d, d), 1)
+                order = np.lexsort((d, -s))[:, :k]
+                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+
+        rest: list[tuple] = []
+        for frame in frames:
+            number = frame.term.map(index)
+            use = number.notna().to_numpy()
+            docs, term, weight = frame.doc_id.to_numpy(np.int64), number.fillna(-1).to_numpy(np.int64), frame.part.to_numpy(float)
+            if rest:
+                docs, term, weight, use = (np.concatenate(x) for x in zip(rest[0], (docs, term, weight, use)))
+            if not len(docs):
+                continue
+            # Rows come by document: the last one may go on in the next batch.
+            done = docs != docs[-1]
+            rest = [(docs[~done], term[~done], weight[~done], use[~done])]
+            take = done & use
+            if take.any():
+                add(docs[take], term[take], weight[take])
+        if rest and rest[0][3].any():
+            docs, term, weight, use = rest[0]
+            add(docs[use], term[use], weight[use])
+        n = best_s.shape[1]
+        if n:
+            keep = np.isfinite(best_s.ravel())
+            yield pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=object), n)[keep], "doc_id": best_d.ravel()[keep], "score": best_s.ravel()[keep]})
+
+    return run
