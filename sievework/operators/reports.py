@@ -31,7 +31,12 @@ def _named(r: Column, key: str) -> Column:
 
 def review_sheet(records: DataFrame) -> DataFrame:
     """One row of a review sheet for each generation record."""
-    source = lambda n: F.coalesce(F.transform(F.filter(F.array(F.get("retrieved", F.lit(n))), lambda r: r.isNotNull()), lambda r: F.concat_ws("; ", _named(r, "rank"), _named(r, "source_code"), _named(r, "external_id"), _named(r, "chunk_i"), F.when(F.coalesce(r["canonical_url"], F.lit("")) != "", F.concat(F.lit("url="), r["canonical_url"]))))[0], F.lit(""))
+
+    def source(n: int) -> Column:
+        r = F.get("retrieved", F.lit(n))
+        url = F.when(F.coalesce(r["canonical_url"], F.lit("")) != "", F.concat(F.lit("url="), r["canonical_url"]))
+        return F.when(r.isNull(), "").otherwise(F.concat_ws("; ", *(_named(r, k) for k in ("rank", "source_code", "external_id", "chunk_i")), url))
+
     out = records.select(
         "id", "query", F.coalesce("answer", F.lit("")).alias("answer"), *(preview(F.col("retrieved"), x).alias(f"{x}_context_preview") for x in ("gold_relevant", "hard_negative", "unknown")),
         F.array_join(F.transform(F.coalesce("retrieval_gold_summary.gold_relevant_ranks", F.array()), lambda x: x.cast("string")), ",").alias("gold_relevant_ranks"), F.col("retrieval_gold_summary.has_gold_relevant_context").alias("has_gold_relevant_context"),

@@ -34,3 +34,12 @@ def test_rewrites(spark):
     r = spark.createDataFrame([("a", "A")], "before string, after string")
     assert sorted(x.search_query for x in reports.with_rewrites(q, r).collect()) == ["A", "b"]
     assert reports.rewrite_rate(r.limit(0)).first().rate == 0.0
+
+
+def test_review_sheet_with_few_sources(spark):
+    item = "struct<rank: int, source_code: string, external_id: string, chunk_i: string, canonical_url: string, text: string, relevance_label: string>"
+    kind = f"id string, query string, answer string, retrieved array<{item}>, retrieval_gold_summary struct<gold_relevant_ranks: array<int>, has_gold_relevant_context: boolean>, human struct<precision: int, completeness: int, format: int, comment: string>"
+    rows = [("a", "q", None, [(1, "s", None, "2", "u", "t", "unknown")], ([1, 2], True), (3, None, -1, None)), ("b", "q", "x", None, None, None), ("c", "q", "x", [], None, None)]
+    a, b, c = reports.review_sheet(spark.createDataFrame(rows, kind)).orderBy("id").collect()
+    assert a.source_1 == "rank=1; source_code=s; external_id=None; chunk_i=2; url=u" and a.source_2 == "" and a.gold_relevant_ranks == "1,2"
+    assert (a.human_precision, a.human_completeness, a.answer) == (3, -1, "") and b.source_1 == c.source_1 == "" and b.unknown_context_preview == ""
