@@ -1,12 +1,14 @@
 """Groups of records that differ by small edits.
 
 Minima of universal hash functions over each record's distinct word shingles are cut into
-bands; records that share a band meet in a bucket.  In each bucket one member leads, every
-other member is compared with it by sketch (and by its shingles where the sketch is not
-certain), members unlike their leader meet again under another leader until none are left.
-Links are joined into groups by alternating large-star and small-star.
-
-No bucket is gathered into one task and no pairs are built within it but with its leader.
+bands; records that share a band meet in a bucket.  In each bucket one member leads first and
+every other member is compared with it by sketch (and by its shingles where the sketch is not
+certain).  The links found are joined into groups by alternating large-star and small-star;
+then every pair of a bucket whose members are in different groups still is compared, in
+blocks of the bucket, and the links are joined again.  So no pair that shares a band is left
+uncompared unless its records are in one group already.
+
+No bucket is gathered into one task: a large one is cut into blocks that meet pair by pair.
 Records with the same set of shingles form one class before anything is compared.
 """
 
@@ -19,7 +21,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.durable import durable, tune_arrow
@@ -32,8 +34,8 @@ BANDS, ROWS = 128, 5
 #: One byte of so many minima travels with a candidate; its estimate has a standard error of
 #: 0.031 at 0.5, and pairs nearer than CERTAIN to the threshold are compared by shingles.
 SKETCH, CERTAIN = 256, 0.17
-#: After the first meeting so many members lead at once, to keep the number of meetings low.
-LEADERS = 16
+#: Members of a bucket are compared in blocks of about so many.
+BLOCK = 2000
 #: Rows of up to three numbers that are sent to every executor instead of being joined by key.
 FEW = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -166,6 +168,11 @@ def _verified(pairs: DataFrame, sketches: DataFrame, records: DataFrame, words:
     s = sketches.select("doc_id", "sketch").join(hinted(need), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     judged = durable(_estimated(both).filter(F.col("alike") >= threshold - CERTAIN).select("a", "b", "alike"), "judged")
+    return _settled(judged, records, words, threshold)
+
+
+def _settled(judged: DataFrame, records: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The pairs of a table (a, b, alike) at or above the threshold; the unsure ones by their shingles."""
     unsure = judged.filter(F.col("alike") < threshold + CERTAIN).select("a", "b")
     sure = judged.filter(F.col("alike") >= threshold + CERTAIN).select("a", "b")
     if unsure.isEmpty():
@@ -177,6 +184,77 @@ def _verified(pairs: DataFrame, sketches: DataFrame, records: DataFrame, words:
     return durable(sure.unionByName(_exact(texts, words).filter(F.col("alike") >= threshold).select("a", "b")), "links")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members (bucket, doc_id, root)`` laid out in cells (bucket, i, j) of one or two blocks.
+
+    Any two members of a bucket with different roots meet in exactly one cell, from its sides
+    0 and 1 or, where i = j, both on side 0.  Members of a bucket's largest group, which need
+    not meet each other, are numbered below zero.
+    """
+    groups = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = groups.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all")).filter(F.col("top.n") < F.col("all"))
+    parts = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = durable(sizes.select("bucket", F.col("top.root").alias("top"), parts(F.col("top.n")).alias("t"), parts(F.col("all") - F.col("top.n")).alias("r")), "sizes")
+    big = F.col("root") == F.col("top")
+    placed = members.join(hinted(sizes), "bucket").withColumn("k", F.pmod(F.xxhash64("doc_id", "bucket"), F.when(big, F.col("t")).otherwise(F.col("r"))).cast("int"))
+    cell = lambda i, j, side: F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), side.cast("int").alias("side"))
+    cells = "array<struct<i:int,j:int,side:int>>"
+    rest = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda o: F.when(big, cell(-1 - F.col("k"), o, F.lit(0))).otherwise(cell(F.col("k"), o, F.col("k") > o)))
+    top = F.when(big, F.array().cast(cells)).otherwise(F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda o: cell(-1 - o, F.col("k"), F.lit(1))))
+    return placed.select("bucket", "doc_id", "root", F.explode(F.concat(rest.cast(cells), top.cast(cells))).alias("c")).select("bucket", "c.i", "c.j", "c.side", "doc_id", "root")
+
+
+def _apart(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, alike): pairs of a bucket with different roots that may reach the threshold.
+
+    ``members (bucket, doc_id, root)``, ``sketches (doc_id, sketch)``, one row each.
+    """
+
+    def compared(i, j, side, doc, root, sketch):
+        """Indices and similarity of the pairs of one cell."""
+        if i == j:
+            xs, ys = np.arange(len(doc)), np.arange(len(doc))
+        else:
+            xs, ys = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if len(xs) > len(ys):
+                xs, ys = ys, xs
+        theirs, roots = sketch[ys], root[ys]
+        for n, x in enumerate(xs):
+            since = n + 1 if i == j else 0
+            same = (theirs[since:] == sketch[x]).mean(axis=1)
+            alike = (same - 1 / 256) / (1 - 1 / 256)
+            for y in np.flatnonzero((alike >= threshold - CERTAIN) & (roots[since:] != root[x])):
+                a, b = int(doc[x]), int(doc[ys[since + y]])
+                yield min(a, b), max(a, b), float(alike[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def out(columns, cuts):
+            rows = {pair for lo, hi in zip(cuts, cuts[1:]) for pair in compared(columns[1][lo], columns[2][lo], *(c[lo:hi] for c in columns[3:]))}
+            if rows:
+                a, b, alike = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            columns.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            if held is not None:
+                columns = [np.concatenate(c) for c in zip(held, columns)]
+            bucket, i, j = columns[:3]
+            cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1)]
+            yield from out(columns, cuts)
+            held = [c[cuts[-1] :] for c in columns]  # the last cell may go on in the next batch
+        if held is not None:
+            yield from out(held, [0, len(held[0])])
+
+    cells = _blocks(members).join(sketches, "doc_id").select("bucket", "i", "j", "side", "doc_id", "root", "sketch")
+    sorted_ = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return sorted_.mapInArrow(run, "a bigint, b bigint, alike double").dropDuplicates(["a", "b"])
+
+
 def _masked(doc: Column, bucket: Column) -> Column:
     """Reversible: each bucket orders its members in its own way."""
     return doc.bitwiseXOR(F.xxhash64(bucket))
@@ -211,33 +289,24 @@ def similar_links(records: DataFrame, words: int, threshold: float, exclude: Dat
     own = sketches.join(hinted(classes.filter("doc_id = rep").select("doc_id", "class_key")), ["doc_id", "class_key"], "left_semi")
     rows_ = own.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("m")).select("bucket", _masked(F.col("m"), F.col("bucket")).alias("m"))
     unmask = lambda c: _masked(F.col(c), F.col("bucket"))
-    links, leaders = None, 1
-    while True:
-        if leaders == 1:
-            # The first meeting, of all buckets: minimum and maximum are found by partial
-            # aggregation, and buckets of two, which are most, need no join.
-            heads = durable(rows_.groupBy("bucket").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count("*").alias("n")).filter("lo < hi"), "heads")
-            larger = heads.filter("n > 2").select("bucket", "lo", "hi")
-            every = heads.select("bucket", "lo", F.col("hi").alias("m")).unionByName(rows_.join(hinted(larger), "bucket").filter("m <> lo and m <> hi").select("bucket", "lo", "m"))
-            open_ = larger.select("bucket")
-        else:
-            # Then only those unlike their leader, under several leaders at once.
-            order = Window.partitionBy("bucket").orderBy("m")
-            heads = rows_.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leaders).select("bucket", F.col("m").alias("lo"))
-            every = rows_.join(heads, "bucket").filter("m > lo").select("bucket", "lo", "m")
-            open_ = None
-        met = durable(every.select("bucket", unmask("lo").alias("x"), unmask("m").alias("y")).select("bucket", "y", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b"), "met")
-        if met.isEmpty():
-            break
-        found = _verified(met.select("a", "b").distinct(), sketches, records, words, threshold)
-        links = found if links is None else links.unionByName(found)
-        linked = met.join(found, ["a", "b"], "left_semi").select("bucket", "y")
-        left = (met.join(open_, "bucket", "left_semi") if open_ is not None else met).select("bucket", "y").distinct().join(linked, ["bucket", "y"], "left_anti").select("bucket", _masked(F.col("y"), F.col("bucket")).alias("m"))
-        if leaders > 1:
-            left = left.join(heads.withColumnRenamed("lo", "m"), ["bucket", "m"], "left_anti")
-        rows_, leaders = durable(left, "left"), LEADERS
-    if links is None:
-        links = records.sparkSession.createDataFrame([], "a bigint, b bigint")
+    # The first meeting, of all buckets: minimum and maximum are found by partial aggregation,
+    # and buckets of two, which are most, need no join and are done with.
+    heads = durable(rows_.groupBy("bucket").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count("*").alias("n")).filter("lo < hi"), "heads")
+    larger = heads.filter("n > 2").select("bucket", "lo", "hi")
+    every = heads.select("bucket", "lo", F.col("hi").alias("m")).unionByName(rows_.join(hinted(larger), "bucket").filter("m <> lo and m <> hi").select("bucket", "lo", "m"))
+    met = durable(every.select("bucket", unmask("lo").alias("x"), unmask("m").alias("y")).select("bucket", "y", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "met")
+    links = _verified(met.select("a", "b").distinct(), sketches, records, words, threshold)
+    # Then every pair of a larger bucket that the links leave in different groups.
+    roots = hinted(connected(links))
+    members = met.join(hinted(larger.select("bucket")), "bucket", "left_semi").select("bucket", F.col("y").alias("doc_id")).unionByName(larger.select("bucket", unmask("lo").alias("doc_id")))
+    rooted = members.join(roots, members.doc_id == roots.node, "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("bucket")
+    open_ = durable(rooted.join(hinted(durable(split, "split")), "bucket", "left_semi").distinct(), "open")
+    if not open_.isEmpty():
+        need = own.join(hinted(open_.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "sketch").dropDuplicates(["doc_id"])
+        near = durable(_apart(open_, durable(need, "needed"), threshold), "near")
+        known = met.select("a", "b").join(hinted(near.select("a", "b")), ["a", "b"], "left_semi").distinct()
+        links = links.unionByName(_settled(durable(near.join(hinted(known), ["a", "b"], "left_anti"), "judged"), records, words, threshold))
     return links.distinct(), classes
 
 

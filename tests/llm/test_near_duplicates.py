@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from sievework.llm import near_duplicates
 from sievework.llm.near_duplicates import connected, group_pairs, near_duplicate_groups
 
 SCHEMA = "doc_id bigint, title string, text string"
@@ -83,6 +84,32 @@ def test_hot_group(spark):
     assert {r.group_id for r in groups if r.doc_id < 1000} == {0} and len({r.group_id for r in groups}) == 601
 
 
+def test_bridges_of_a_hot_group(spark):
+    """Records at the edge of a hot group, like one or two of its members and not like the rest."""
+    rng = np.random.default_rng(11)
+    base = np.array([f"w{i}" for i in range(200)])
+    hot = [(i, None, " ".join(rng.choice(base, 160, replace=False))) for i in range(300)]
+    edge = [(1000 + i, None, " ".join(rng.choice(base, 100, replace=False))) for i in range(40)]
+    rows = hot + edge
+    want = brute(rows, 1, 0.5)
+    assert len({b for _, b in want if b >= 1000}) >= 10  # held by single links
+    assert pairs(group_pairs(near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), 1, 0.5))) == want
+
+
+def test_blocks_meet_once(spark, monkeypatch):
+    """Every two members of different roots meet in one cell, however the bucket is cut."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 3)
+    members = [(b, 100 * b + d, 100 * b + (0 if d < 14 else d // 2)) for b in (1, 2) for d in range(14 if b == 1 else 30)] + [(1, 199, 199)]
+    cells = {}
+    for r in near_duplicates._blocks(spark.createDataFrame(members, "bucket bigint, doc_id bigint, root bigint")).collect():
+        cells.setdefault((r.bucket, r.i, r.j), []).append(r)
+    met = []
+    for (_, i, j), rows in cells.items():
+        met += [tuple(sorted((x.doc_id, y.doc_id))) for n, x in enumerate(rows) for y in rows[n + 1 :] if (i == j or x.side != y.side) and x.root != y.root]
+    assert len(met) == len(set(met))
+    assert set(met) == {tuple(sorted((x[1], y[1]))) for x in members for y in members if x[0] == y[0] and x[2] != y[2]}
+
+
 def test_empty(spark):
     assert near_duplicate_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
