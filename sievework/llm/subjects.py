@@ -28,6 +28,8 @@ from sievework.sources import with_columns
 BUCKETS, WIDTH = 1 << 15, 16
 #: Labelled documents the model is fitted on, at most; drawn by hash of their id.
 TRAIN_DOCUMENTS = 6_000
+#: Areas of one model, at most; more are an error.
+MAX_AREAS = 1_000
 #: Labelled ids that are sent to every executor; more are joined by key.
 FEW = 200_000
 PARTS, ROUNDS, EPOCHS, RATE = 8, 4, 3, 0.25
@@ -188,7 +190,9 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, limit: int
     no longer those in which it finds an area that is not among them.
     """
     tune_arrow(documents.sparkSession, 500)
-    areas = sorted(r[0] for r in subjects.select(F.lower("subject_code")).filter("subject_code is not null").distinct().limit(1000).collect())
+    areas = sorted(r[0] for r in subjects.select(F.lower("subject_code")).filter("subject_code is not null").distinct().limit(MAX_AREAS + 1).collect())
+    if len(areas) > MAX_AREAS:
+        raise ValueError(f"more than {MAX_AREAS} subject areas")
     rows = durable(training_rows(documents, labels, areas, limit).repartition(PARTS, F.xxhash64("doc_id")), "training")
     if not areas or rows.isEmpty():
         return None

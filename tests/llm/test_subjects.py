@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sievework.llm.subjects import fit, score, subject_areas
@@ -45,6 +46,13 @@ def test_without_labels(spark):
     assert fit(docs, labels, areas) is None and subject_areas(docs, labels, areas).count() == 0
 
 
+def test_too_many_areas_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "матч.")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, "a0")], "doc_id bigint, subject_code string")
+    with pytest.raises(ValueError, match="more than 1000 subject areas"):
+        fit(docs, labels, spark.createDataFrame([(f"a{i}",) for i in range(1001)], "subject_code string"))
+
+
 def test_empty_documents(spark):
     rows = corpus(1, 60)
     docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id bigint, text string")
