@@ -18,10 +18,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    records = load(spark, sf, "local_document")
-    state = site_lines.LineCounts(spark)
-    state.merge(records)
-    return site_lines.without_lines(records, state)
+    return site_lines.cleaned_by_deltas(load(spark, sf, "local_document"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -18,11 +18,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.durable import drop_path, new_path
+from sievework.durable import drop_path, durable, new_path
 from sievework.sources import with_columns
 
 MIN_RECORDS = 5
 MIN_SHARE = 0.20
+#: Parts in which a whole table is merged.
+DELTAS = 4
 
 
 def line_keys(text: Column) -> Column:
@@ -171,7 +173,27 @@ def without_lines(records: DataFrame, state: LineCounts, only: DataFrame | None
     """
     texts = with_columns(records, "doc_id", "source_code", "text").filter("doc_id is not null")
     if only is not None:
-        texts = texts.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+        texts = texts.join(only.select("doc_id"), "doc_id", "left_semi")
     drop = state.occurrences().groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return texts.join(drop, "doc_id", "left").select("doc_id", F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept).alias("text")).dropDuplicates(["doc_id"])
+
+
+def cleaned_by_deltas(records: DataFrame, deltas: int = DELTAS) -> DataFrame:
+    """(doc_id, text) of all records, as ``without_lines`` gives it, kept up over deltas.
+
+    The table is merged in parts by hash of doc_id, and ``merge`` names the records each part
+    affects, of it or of earlier ones.  The named records are rebuilt once all parts are in, as
+    only their last texts are wanted; one never named keeps its own text.
+    """
+    records = with_columns(records, "doc_id", "source_code", "text").filter("doc_id is not null")
+    state, named = LineCounts(records.sparkSession), None
+    for k in range(deltas):
+        delta = records.filter(F.pmod(F.xxhash64("doc_id"), F.lit(deltas)) == k)
+        ids = state.merge(delta).select("doc_id")
+        named = ids if named is None else named.unionByName(ids)
+    named = durable(named.distinct(), "named")
+    if state._few(named):
+        named = F.broadcast(named)
+    untouched = records.select("doc_id", "text").join(named, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return without_lines(records, state, named).unionByName(untouched)

@@ -1,7 +1,8 @@
 import re
 
 from sievework.llm import queries
-from sievework.llm.site_lines import LineCounts, repeated_lines, without_lines
+from sievework.llm.site_lines import LineCounts, cleaned_by_deltas, repeated_lines, without_lines
+from sievework.sources import load
 from tests.oracle import check
 
 SCHEMA = "doc_id bigint, source_code string, text string"
@@ -78,6 +79,23 @@ def test_texts_without_lines(spark):
     assert out[900] is None and out[901] == "" and "Поделитесь" not in out[0] and re.search(r"\w+ 0", out[0])
 
 
+def test_cleaned_by_deltas_is_as_cleaned_at_once(spark):
+    rows = [r for n, r in enumerate(corpus(60)) if r[0] != 3 or n == 3] + [(2000 + i, "s", f"редкое\nстр{'аб'[i % 2] * i}" if i < 5 else "строка " + "в" * i) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    state = LineCounts(spark)
+    state.merge(df)
+    want = sorted((r.doc_id, r.text or "") for r in without_lines(df, state).collect())
+    for deltas in (1, 5):
+        assert sorted((r.doc_id, r.text or "") for r in cleaned_by_deltas(df, deltas).collect()) == want
+
+
+def test_p1_cleaned_merges_deltas(spark, sf, monkeypatch):
+    sizes, merge = [], LineCounts.merge
+    monkeypatch.setattr(LineCounts, "merge", lambda self, records: sizes.append(records.count()) or merge(self, records))
+    queries.p1_cleaned(spark, sf)
+    assert len(sizes) > 1 and all(sizes) and sum(sizes) == load(spark, sf, "local_document").filter("doc_id is not null").count()
+
+
 def test_queries_against_sql(spark, sf):
     for name in ("p1_found", "p1_cleaned", "p4_found"):
         check(spark, sf, queries.queries()[name], queries.oracle_sql()[name])
