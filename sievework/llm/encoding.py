@@ -6,12 +6,16 @@ Four passes, of which only the first two read all texts:
 2. Stretches of words that the bigrams find much less likely than chance are cut out, with
    the places where letters were replaced by stand-in characters.
 3. A stretch is a cipher text: a code-page swap replaces every letter by another symbol (one
-   character, or the two or four that one letter became).  For each source and kind of swap
-   the symbol bigrams are summed up, and expectation-maximization against the language
-   bigrams learns which letter each symbol stands for.
-4. The learnt mapping is applied with ``translate``; a stretch is a case if its letters then
-   read as language.  Where the learnt mapping agrees with a pair of known code pages, that
-   pair also gives the symbols too rare to be learnt (capitals, quotes, digits' signs).
+   character, or the two or four that one letter became).  Stretches that a known chain of
+   pages makes language of are pooled by source and chain, all others by source and the script
+   of their symbols.  The symbol bigrams of each pool are summed up, and
+   expectation-maximization against the language bigrams learns which letter each symbol stands
+   for, from the known chain where there is one, else freely.
+4. The learnt mapping is applied; a stretch is a case if its letters then read as language.  A
+   free mapping must first be confirmed: it must make language of its whole pool, nearly one
+   symbol for one letter.  Then it is tried on every unexplained stretch of the source, however
+   short.  Where learnt letters agree with a pair of code pages, that pair also gives the
+   symbols too rare to be learnt (capitals, quotes, digits' signs).
 """
 
 from __future__ import annotations
@@ -49,6 +53,8 @@ SUSPECT = 9.0
 #: Nats that reading a stretch through the mapping must gain, in all and for each letter.
 GAIN, GAIN_PER_LETTER = 8.0, 0.7
 CHANCE = -log(45)
+#: Mappings (some kilobytes each) that are sent to every executor; more are joined by key.
+FEW_MAPPINGS = 3_000
 
 
 @lru_cache(1)
@@ -119,6 +125,8 @@ class Language:
         self.logp[0, 0] = 0.0
         seen = n.sum() or 1.0
         self.usual = float((n * self.logp).sum() / seen)
+        # The same for each letter, as scores of whole texts are divided.
+        self.per_letter = float((n * self.logp).sum() / (n[:, 1:].sum() or 1.0))
         # What each step speaks against the language, more than a few nats counting as few.
         self.against = np.minimum(CHANCE - self.logp, 8.0).astype(np.float32)
         self.against[0, 0] = 0.0
@@ -251,17 +259,24 @@ def undo(text: str, chain: tuple[str, ...]) -> str:
 
 def units(text: str, chain: tuple[str, ...]) -> list[str]:
     """The text as symbols: what one letter became under ``chain``."""
-    width = sum(a == "utf-8" for a in chain[::2])
-    if not width:
-        return list(text)
-    out, i, step = [], 0, 2**width
-    table = byte_of(chain[-1])
-    while i < len(text):
-        b = table.get(ord(text[i]), 0)
-        n = step if b >= 0xC0 and i + step <= len(text) else 1
-        out.append(text[i : i + n])
-        i += n
-    return out
+    parts, chars = list(text), list(text)
+    for page, read_as in reversed(list(zip(chain[::2], chain[1::2]))):
+        if page != "utf-8":
+            continue  # one character for each
+        table = byte_of(read_as)
+        raw = [table.get(ord(ch), 0) for ch in chars]
+        joined, plain, i = [], [], 0
+        while i < len(chars):
+            b = raw[i]
+            n = 1 if b < 0xC2 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 if b < 0xF5 else 1
+            if n > 1 and not all(0x80 <= x < 0xC0 for x in raw[i + 1 : i + n]):
+                n = 1
+            whole = bytes(raw[i : i + n]).decode("utf-8", "ignore") if n > 1 else chars[i]
+            joined.append("".join(parts[i : i + n]))
+            plain.append(whole if len(whole) == 1 else chars[i])
+            i += n
+        parts, chars = joined, plain
+    return parts
 
 
 @lru_cache(None)
@@ -338,19 +353,34 @@ def trimmed(text: str, start: int, stop: int, chain: int, lang: Language) -> tup
     return (spans[0][0], spans[-1][1]) if spans else (start, stop)
 
 
+#: Symbols of a pool that are learnt, the most frequent first; a single-byte page has 128.
+SYMBOLS = 512
+_SPACES = " \t\r\n"
+
+
+def _symbol_matrix(pairs: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """The symbols and their bigram counts; white space comes first."""
+    seen = pd.concat([pairs[["s1", "n"]].set_axis(["s", "n"], axis=1), pairs[["s2", "n"]].set_axis(["s", "n"], axis=1)]).groupby("s").n.sum()
+    spaces = [x for x in seen.index if x in _SPACES]
+    symbols = spaces + sorted(seen.drop(spaces).sort_values(ascending=False, kind="stable").index[:SYMBOLS])
+    at = {x: i for i, x in enumerate(symbols)}
+    use = pairs[pairs.s1.isin(at) & pairs.s2.isin(at)]
+    n = np.zeros((len(symbols), len(symbols)))
+    np.add.at(n, (use.s1.map(at).to_numpy(int), use.s2.map(at).to_numpy(int)), use.n.to_numpy(float))
+    return symbols, n
+
+
 def learn(pairs: pd.DataFrame, hidden: np.ndarray, chain: tuple[str, ...] | None, rounds: int = 40) -> dict[str, str]:
     """Symbol to letter by expectation-maximization on symbol bigrams (s1, s2, n).
 
     Pairwise form: every bigram's posterior over hidden bigrams under ``hidden``; the emission
-    starts from a known chain where there is one, else from ranks of frequency.
+    starts from a known chain where there is one, else from ranks of frequency.  Of several
+    symbols for one letter those that mostly begin words are its capital.
     """
-    symbols = sorted(set(pairs.s1) | set(pairs.s2))
-    at = {s: i for i, s in enumerate(symbols)}
-    n = np.zeros((len(symbols), len(symbols)))
-    np.add.at(n, ([at[s] for s in pairs.s1], [at[s] for s in pairs.s2]), pairs.n.to_numpy(float))
+    symbols, n = _symbol_matrix(pairs)
     emit = np.full((RU, len(symbols)), 1e-3)
     if chain:
-        for s, i in at.items():
+        for i, s in enumerate(symbols):
             k = (RUSSIAN.find(undo(s, chain).lower()) + 1) if len(undo(s, chain)) == 1 else 0  # 0: no letter
             emit[k, i] += 1.0
     else:
@@ -359,7 +389,7 @@ def learn(pairs: pd.DataFrame, hidden: np.ndarray, chain: tuple[str, ...] | None
         for r, i in enumerate(by_rank):
             for near in range(max(0, r - 4), min(RU, r + 5)):
                 emit[likely[near], i] += 1.0 / (1 + abs(near - r))
-            if symbols[i].isspace():
+            if ord(symbols[i][0]) < 0x80:  # pages agree below 128: no letter of the cipher
                 emit[:, i] = 1e-6
                 emit[0, i] = 1.0
     # A known chain weighs as much as so many sightings of each symbol; a short stretch cannot
@@ -374,7 +404,74 @@ def learn(pairs: pd.DataFrame, hidden: np.ndarray, chain: tuple[str, ...] | None
         emit /= emit.sum(1, keepdims=True)
     joint = emit * hidden.sum(1)[:, None]
     top = joint.argmax(0)
-    return {s: ("" if top[i] == 0 else RUSSIAN[top[i] - 1]) for s, i in at.items()}
+    seen = n.sum(0)
+    first = n[[i for i, s in enumerate(symbols) if s in _SPACES]].sum(0)
+    out = {}
+    for i, s in enumerate(symbols):
+        letter = RUSSIAN[top[i] - 1] if top[i] else ""
+        rarer = (top == top[i]) & (seen > seen[i])
+        out[s] = letter.upper() if letter and rarer.any() and 2 * first[i] > seen[i] else letter
+    return out
+
+
+#: Letters a pool must have before a mapping can be learnt from nothing, how far the pool may
+#: then be from ordinary text (nats a letter), and the most of it that may be symbols which
+#: share their letter with a commoner one (capitals are such).
+POOL_LETTERS, POOL_FIT, POOL_SHARED = 400, 0.5, 0.15
+
+
+def pool_of(piece: str) -> int | None:
+    """-1 and below: the pool of a stretch no known chain reads, by the script of its symbols.
+
+    Pages agree below 128, so a stretch with few other characters is no cipher: None.
+    """
+    code = code_points(piece)
+    code = code[code > 0x20]
+    foreign = code[code >= 0x80]
+    if 2 * len(foreign) < len(code) or not len(foreign):
+        return None
+    script = np.select([(foreign >= 0x400) & (foreign < 0x530), (foreign >= 0x370) & (foreign < 0x400), foreign < 0x250, (foreign >= 0x2500) & (foreign < 0x2600)], [0, 1, 2, 3], 4)
+    return -1 - int(np.bincount(script).argmax())
+
+
+def confirmed(pairs: pd.DataFrame, mapping: dict[str, str], lang: Language) -> bool:
+    """Whether a freely learnt mapping makes language of the pool it was learnt from."""
+    symbols, n = _symbol_matrix(pairs)
+    letters = [mapping.get(s, "").lower() for s in symbols]
+    c = np.array([RUSSIAN.index(x) + 1 if x else 0 for x in letters])
+    seen, total = n.sum(0), float(n[:, c > 0].sum())
+    if total < POOL_LETTERS:
+        return False
+    most = np.zeros(RU)
+    np.maximum.at(most, c, seen)
+    shared = 1.0 - most[1:].sum() / total
+    kept = sum(x for x, s, to in zip(seen, symbols, letters) if to and s.lower() == to) / total
+    return float((n * lang.logp[np.ix_(c, c)]).sum()) / total > lang.per_letter - POOL_FIT and shared <= POOL_SHARED and kept < 0.5
+
+
+# Single-byte code pages that have the Russian letters, and those that others
+# may have taken them for.
+CYRILLIC_PAGES = ("cp1251", "koi8-r", "koi8-u", "cp866", "cp1125", "cp855", "iso8859-5", "mac-cyrillic", "ptcp154", "kz1048")
+OTHER_PAGES = (
+    "cp437", "cp720", "cp737", "cp775", "cp850", "cp852", "cp857", "cp858", "cp860", "cp861", "cp862", "cp863", "cp864", "cp865", "cp869", "cp874", "cp1250", "cp1252", "cp1253", "cp1254", "cp1255", "cp1256", "cp1257", "cp1258",
+    "latin-1", "iso8859-2", "iso8859-3", "iso8859-4", "iso8859-6", "iso8859-7", "iso8859-8", "iso8859-9", "iso8859-10", "iso8859-13", "iso8859-14", "iso8859-15", "iso8859-16", "koi8-t", "mac-roman", "mac-greek", "mac-latin2", "mac-turkish", "hp-roman8",
+)
+
+
+def agreeing_pages(pairs: pd.DataFrame, mapping: dict[str, str], least: float = 0.85) -> tuple[str, str] | None:
+    """The two code pages that give most of a pool's letters as learnt, if they give enough."""
+    symbols, n = _symbol_matrix(pairs)
+    held = [(ord(s), mapping[s].lower(), x) for s, x in zip(symbols, n.sum(0)) if mapping.get(s)]
+    best, most = None, least * sum(x for _, _, x in held)
+    for page in CYRILLIC_PAGES:
+        for read_as in (*CYRILLIC_PAGES, *OTHER_PAGES):
+            if page == read_as:
+                continue
+            table = swap_table(page, read_as)
+            agreed = sum(n for s, x, n in held if table.get(s, "").lower() == x)
+            if agreed > most:
+                best, most = (page, read_as), agreed
+    return best
 
 
 def _bigram_table(texts: DataFrame) -> np.ndarray:
@@ -395,11 +492,14 @@ def _bigram_table(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-_SEGMENTS = "doc_id bigint, source_code string, start int, stop int, piece string, chain int, gain double, letters int, lost int"
+_SEGMENTS = "doc_id bigint, source_code string, start int, stop int, piece string, chain int, lost int"
 
 
 def _segments(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The stretches of every text, and one row with ``lost`` > 0 where letters were lost."""
+    """The stretches of every text, and one row with ``lost`` > 0 where letters were lost.
+
+    ``chain`` is the known chain that makes language of the stretch, else its pool.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang = Language(counts)
@@ -407,16 +507,20 @@ def _segments(texts: DataFrame, counts: np.ndarray) -> DataFrame:
             out: list[tuple] = []
             for doc, source, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if lost := lost_letters(text):
-                    out.append((doc, source, 0, 0, "", -1, 0.0, 0, lost))
+                    out.append((doc, source, 0, 0, "", -1, lost))
                 for s, e in stretches(text, lang):
-                    chain, gain = best_chain(text[s:e], lang)
+                    chain, _ = best_chain(text[s:e], lang)
                     if chain >= 0:
-                        s, e = trimmed(text, s, e, chain, lang)
-                    piece = text[s:e]
-                    out.append((doc, source, s, e, piece, chain, gain, lang.score(piece)[1], 0))
-            cols = list(zip(*out)) or [()] * 9
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "source_code", "start", "stop", "piece", "chain", "gain", "letters", "lost"])
+                        a, b = trimmed(text, s, e, chain, lang)
+                        if is_case(text[a:b], read_words(text[a:b], CHAINS[chain]), lang, CHAINS[chain]):
+                            out.append((doc, source, a, b, text[a:b], chain, 0))
+                            continue
+                    pool = pool_of(text[s:e])
+                    if pool is not None:
+                        out.append((doc, source, s, e, text[s:e], pool, 0))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "source_code", "start", "stop", "piece", "chain", "lost"])
 
     return texts.mapInArrow(run, _SEGMENTS)
 
@@ -438,41 +542,78 @@ def _symbol_bigrams(segments: DataFrame) -> DataFrame:
     return found.groupBy("source_code", "chain", "s1", "s2").agg(F.sum("n").alias("n"))
 
 
+_MAPPINGS = "source_code string, chain int, mapping map<string,string>, pages array<string>"
+
+
 def learnt_mappings(segments: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(source_code, chain, mapping): the letters learnt for each source and kind of swap.
+    """(source_code, chain, mapping, pages): the letters learnt for each source and pool, and
+    the code pages they agree with; pools whose mapping is not confirmed have no row.
 
     One group holds the bigrams of the symbols of one cipher, not its texts: its size is
     bounded by the square of the number of distinct characters.
     """
+
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        chain = int(frame.chain.iloc[0])
-        mapping = learn(frame, Language(counts).hidden(), CHAINS[chain] if chain >= 0 else None)
-        return pd.DataFrame({"source_code": [frame.source_code.iloc[0]], "chain": [chain], "mapping": [mapping]})
+        chain, lang = int(frame.chain.iloc[0]), Language(counts)
+        out = pd.DataFrame({"source_code": [frame.source_code.iloc[0]], "chain": [chain]})
+        known = CHAINS[chain] if chain >= 0 else None
+        if not known and frame.n.sum() < POOL_LETTERS:
+            return out.assign(mapping=[{}], pages=[[]]).iloc[:0]
+        # Signs below 128 and white space stand for themselves.
+        mapping = {s: x for s, x in learn(frame, lang.hidden(), known).items() if x and ord(s[0]) >= 0x80}
+        if known:
+            return out.assign(mapping=[mapping], pages=[list(known)])
+        return out.assign(mapping=[mapping], pages=[list(agreeing_pages(frame, mapping) or ())])[[confirmed(frame, mapping, lang)]]
 
-    return _symbol_bigrams(segments).groupBy("source_code", "chain").applyInPandas(one, "source_code string, chain int, mapping map<string,string>")
+    return _symbol_bigrams(segments).groupBy("source_code", "chain").applyInPandas(one, _MAPPINGS)
 
 
-def read_through(piece: str, chain: int, mapping: dict[str, str], lang: Language) -> tuple[str, float, int]:
-    """The stretch read through the learnt mapping, the nats gained, and the chain confirmed.
+@lru_cache(100_000)
+def undone(symbol: str, pages: tuple[str, ...]) -> str:
+    return undo(symbol, pages)
 
-    The learnt letters decide; the known chain completes them if the two agree on nine tenths
-    of the stretch's letters, else the swap counts as an unknown one (-1).
-    """
-    raw, _ = lang.score(piece)
-    if chain < 0:
-        table = {ord(k): v for k, v in mapping.items() if v and len(k) == 1}
-        plain = piece.translate(table)
-        return plain, lang.score(plain)[0] - raw, -1
-    pages = CHAINS[chain]
-    symbols = units(piece, pages)
-    known = [undo(s, pages) for s in symbols]
-    judged = [(mapping.get(s, ""), k.lower()) for s, k in zip(symbols, known) if len(k) == 1 and k.lower() in RUSSIAN]
-    agree = sum(a == b for a, b in judged)
-    if judged and agree >= 0.9 * len(judged) or not judged:
-        plain = undo(piece, pages)
-    else:
-        plain, chain = "".join(mapping.get(s) or k for s, k in zip(symbols, known)), -1
-    return plain, lang.score(plain)[0] - raw, chain
+
+def _learnt(symbol: str, known: str, mapping: dict[str, str]) -> str:
+    """The letter learnt for a symbol, in the case the pages give it; else what they give."""
+    letter = mapping.get(symbol)
+    if not letter:
+        return known
+    return letter.upper() if known.isupper() else letter.lower()
+
+
+def read_words(piece: str, pages: tuple[str, ...], mapping: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(word, reading) of the words of a stretch that change: letters by the mapping, symbols
+    it does not have by the pages."""
+    out = []
+    if not pages:
+        table = {ord(k): v for k, v in mapping.items()}
+    for word in _TOKEN.findall(piece):
+        if not pages:
+            plain = word.translate(table)
+        else:
+            plain = undo(word, pages)
+            if mapping is not None and plain != word:
+                if "utf-8" in pages:
+                    symbols = units(word, pages)
+                    plain = "".join(_learnt(u, undone(u, pages), mapping) for u in symbols)
+                else:
+                    plain = "".join(_learnt(u, k, mapping) for u, k in zip(word, plain))
+        if plain != word:
+            out.append((word, plain))
+    return out
+
+
+def restored(piece: str, mapping: dict[str, str], pages: tuple[str, ...]) -> str:
+    """The stretch through its pages where the learnt letters agree with them on four fifths of
+    the stretch's letters, else letter by letter."""
+    symbols = units(piece, pages) if pages else list(piece)
+    if pages:
+        known = [undone(s, pages) for s in symbols] if "utf-8" in pages else list(undo(piece, pages))
+        judged = [(mapping.get(s, "").lower(), k.lower()) for s, k in zip(symbols, known) if len(k) == 1 and k.lower() in RUSSIAN]
+        if sum(a == b for a, b in judged) >= 0.8 * len(judged):
+            return undo(piece, pages)
+        return "".join(mapping.get(s) or k for s, k in zip(symbols, known))
+    return piece.translate({ord(k): v for k, v in mapping.items() if v and len(k) == 1})
 
 
 _TURN = re.compile(r"[a-zа-яё][A-ZА-ЯЁ]")
@@ -481,21 +622,14 @@ _SIGN = re.compile("(?:â€|вЂ).")
 LEAST_LETTERS = 12
 
 
-def is_case(piece: str, plain: str, gain: float, lang: Language, chain: int) -> bool:
-    """Whether reading through the mapping makes language of the stretch.
+def is_case(piece: str, words: list[tuple[str, str]], lang: Language, pages: tuple[str, ...] = ()) -> bool:
+    """Whether the reading makes language of the stretch.
 
-    Judged are the words the mapping changes: unbroken runs and numbers that stand among them
-    are as unlikely before as after.
+    Judged are the words that change (``read_words``): unbroken runs and numbers that stand
+    among them are as unlikely before as after.
     """
-    if plain == piece:
-        return False
-    if chain < 0:
-        score, letters = lang.score(plain)
-        return gain >= GAIN and letters >= 60 and gain / letters >= GAIN_PER_LETTER and score / letters > lang.usual - 0.25
-    pages = CHAINS[chain]
-    if pages[0] == "utf-8" and any(len(p := undo(m.group(), pages)) == 1 and p in SIGNS for m in _SIGN.finditer(piece)):
+    if pages and pages[0] == "utf-8" and any(len(p := undo(m.group(), pages)) == 1 and p in SIGNS for m in _SIGN.finditer(piece)):
         return True  # a dash, quotation mark or apostrophe of three bytes
-    words = [(w, p) for w in _TOKEN.findall(piece) if (p := undo(w, pages)) != w]
     raw, read = " ".join(w for w, _ in words), " ".join(p for _, p in words)
     score, letters = lang.score(read)
     if letters < 3:
@@ -526,23 +660,29 @@ def garbled_pieces(records: DataFrame) -> DataFrame:
     texts = _texts(records)
     counts = _bigram_table(texts.select("text"))
     segments = durable(_segments(texts, counts), "segments")
-    mappings = learnt_mappings(segments, counts)
+    mappings = durable(learnt_mappings(segments, counts), "mappings")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lang = Language(counts)
         for frame in frames:
             out = []
-            for doc, start, stop, piece, chain, mapping in frame.itertuples(index=False):
-                plain, gain, chain = read_through(piece, chain, dict(mapping or {}), lang)
-                if is_case(piece, plain, gain, lang, chain):
-                    out.append((doc, start, stop, plain, 0))
+            for doc, start, stop, piece, mapping, pages in frame.itertuples(index=False):
+                mapping, pages = dict(mapping), tuple(pages)
+                words = read_words(piece, pages, mapping)
+                if words and is_case(piece, words, lang, pages):
+                    out.append((doc, start, stop, restored(piece, mapping, pages), 0))
             yield pd.DataFrame(out, columns=["doc_id", "start", "stop", "plain", "lost"])
 
+    # A source's stretches by known chains meet the mapping of their chain, others each free
+    # mapping that was confirmed for their source (at most one for each script).
     s, m = segments.filter("lost = 0").alias("s"), mappings.alias("m")
-    # One mapping for each source and kind of swap: sources number in the hundreds at most
-    # where a mapping can be learnt, and the join is by key if they are more.
-    joined = s.join(m, F.col("s.source_code").eqNullSafe(F.col("m.source_code")) & (F.col("s.chain") == F.col("m.chain")), "left")
-    read_ = joined.select("doc_id", "start", "stop", "piece", "s.chain", "mapping").mapInPandas(read, "doc_id bigint, start int, stop int, plain string, lost int")
+    if mappings.limit(FEW_MAPPINGS + 1).count() <= FEW_MAPPINGS:
+        m = F.broadcast(m)
+    same = (F.col("s.chain") == F.col("m.chain")) | ((F.col("s.chain") < 0) & (F.col("m.chain") < 0))
+    joined = s.join(m, F.col("s.source_code").eqNullSafe(F.col("m.source_code")) & same)
+    read_ = joined.select("doc_id", "start", "stop", "piece", "mapping", "pages").mapInPandas(read, "doc_id bigint, start int, stop int, plain string, lost int")
+    # Where two free mappings read one stretch, one reading stays.
+    read_ = read_.groupBy("doc_id", "start", "stop", "lost").agg(F.min("plain").alias("plain")).select("doc_id", "start", "stop", "plain", "lost")
     gone = segments.filter("lost > 0").select("doc_id", "start", "stop", F.lit(None).cast("string").alias("plain"), "lost")
     return read_.unionByName(gone).distinct()
 
