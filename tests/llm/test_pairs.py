@@ -40,3 +40,27 @@ def test_language(text, want):
 def test_long_answers_are_read_whole():
     assert not is_copy(Q, Q + " " + "Порядок иной. " * 3000)
     assert not is_refusal("Ответить невозможно. " + "Налог платят весной. " * 3000)
+
+
+def test_heldout_refusals_and_legal_answers():
+    """Precision and recall on sentences that no dictionary was filled from."""
+    from tests.llm.refusals_heldout import ANSWERS, REFUSALS
+
+    found, wrong = [x for x in REFUSALS if is_refusal(x)], [x for x in ANSWERS if is_refusal(x)]
+    print(len(REFUSALS), len(found), len(ANSWERS), len(wrong))
+    assert len(found) >= 0.9 * len(REFUSALS)
+    assert len(found) >= 0.9 * (len(found) + len(wrong))
+
+
+@pytest.mark.parametrize(("text", "want"), [("Wniosek nie został złożony w terminie.", "pl"), ("Başvuru süresi içinde yapılmadı.", "tr"), ("O pedido não foi apresentado no prazo.", "pt"), ("Заява не была пададзена ў тэрмін.", "be"), ("Захтев није поднет у року и враћа се пошиљаоцу.", "sr"), ("申告書は期限内に提出されませんでした。", "ja"), ("신고서는 기한 내에 제출되지 않았습니다.", "ko"), ("Η δήλωση δεν υποβλήθηκε εγκαίρως.", "el"), ("Уточните детали и спросите снова", "ru"), ("Verzoek niet op tijd ingediend bij de dienst en de inspectie", "nl")])
+def test_languages_by_letter_groups(text, want):
+    assert language(text) == want
+
+
+def test_contexts_by_key(spark, monkeypatch):
+    """Beyond the limit of what is sent along, the endings are joined by key."""
+    from sievework.llm import pairs
+
+    rows = [(f"g{i}", Q, GOOD) for i in range(30)] + [("t1", Q, "Срок уплаты наступает в"), ("n1", Q, "Срок уплаты наступает в апреле")]
+    monkeypatch.setattr(pairs, "FEW_CONTEXTS", 0)
+    assert defects(spark, rows) == {("t1", "truncated")}
