@@ -400,10 +400,9 @@ def learn(pairs: pd.DataFrame, hidden: np.ndarray, chain: tuple[str, ...] | None
         ratio = n / np.maximum(emit.T @ hidden @ emit, 1e-300)
         first = emit * (hidden @ emit @ ratio.T)
         second = emit * (hidden.T @ emit @ ratio)
-        emit = first + second + prior
-        emit /= emit.sum(1, keepdims=True)
-    joint = emit * hidden.sum(1)[:, None]
-    top = joint.argmax(0)
+        sightings = first + second + prior
+        emit = sightings / sightings.sum(1, keepdims=True)
+    top = sightings.argmax(0)
     seen = n.sum(0)
     first = n[[i for i, s in enumerate(symbols) if s in _SPACES]].sum(0)
     out = {}
@@ -561,7 +560,8 @@ def learnt_mappings(segments: DataFrame, counts: np.ndarray) -> DataFrame:
             return out.assign(mapping=[{}], pages=[[]]).iloc[:0]
         # Signs below 128 and white space stand for themselves.
         mapping = {s: x for s, x in learn(frame, lang.hidden(), known).items() if x and ord(s[0]) >= 0x80}
-        if known:
+        if known:  # which symbols are letters the pages tell, which letter is learnt
+            mapping = {s: x for s, x in mapping.items() if undone(s, known).lower() in RUSSIAN}
             return out.assign(mapping=[mapping], pages=[list(known)])
         return out.assign(mapping=[mapping], pages=[list(agreeing_pages(frame, mapping) or ())])[[confirmed(frame, mapping, lang)]]
 
