@@ -71,26 +71,27 @@ class Shingler:
 
 
 class MinHasher:
-    """Minima of multiplicative hash functions, each a permutation of 32-bit numbers."""
+    """Minima of strongly universal hash functions: the high half of a*x + b in 64 bits."""
 
     def __init__(self, bands: int, rows: int, seed: int = 20240607):
         rng = np.random.default_rng(seed)
         k = bands * rows
         self.bands, self.rows = bands, rows
-        self.a = (rng.integers(0, 2**31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+        self.a, self.b = (rng.integers(0, 2**64, (k, 1), dtype=np.uint64) for _ in range(2))
         self.mix = rng.integers(0, 2**63, (1, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(0, 2**63, bands, dtype=np.uint64)
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
-        x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :]
-        out = np.empty(len(self.a), np.uint32)
-        step = min(len(out), max(1, 40_000 // x.shape[1]))  # a block of the table stays in the cache
-        block = np.empty((step, x.shape[1]), np.uint32)
+        x = (shingles >> np.uint64(32))[None, :]
+        out = np.empty(len(self.a), np.uint64)
+        step = min(len(out), max(1, 20_000 // x.shape[1]))  # a block of the table stays in the cache
+        block = np.empty((step, x.shape[1]), np.uint64)
         for i in range(0, len(out), step):
             h = block[: len(out) - i]
             np.multiply(self.a[i : i + step], x, out=h)
+            np.add(h, self.b[i : i + step], out=h)
             h.min(axis=1, out=out[i : i + step])
-        return out
+        return (out >> np.uint64(32)).astype(np.uint32)
 
     def band_keys(self, minima: np.ndarray) -> np.ndarray:
         m = minima.reshape(self.bands, self.rows).astype(np.uint64) + np.uint64(1)

@@ -96,6 +96,44 @@ def test_bridges_of_a_hot_group(spark):
     assert pairs(group_pairs(near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), 1, 0.5))) == want
 
 
+def test_star(spark):
+    """One record of 300 words and 200 of 174 of its words each: all similar to it, not to each other."""
+    rng = np.random.default_rng(3)
+    base = np.array([f"w{i}" for i in range(300)])
+    rows = [(0, None, " ".join(base))] + [(1 + i, None, " ".join(rng.choice(base, 174, replace=False))) for i in range(200)]
+    groups = near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), 1, 0.5).collect()
+    assert len(groups) == 201 and {r.group_id for r in groups} == {0}
+
+
+def test_large_bucket_of_unlike_members(spark):
+    """Records that share two fifths of their words, so every bucket holds hundreds of unlike
+    ones; among them pairs just above the threshold and chains.  Recall against exact links."""
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(80)]
+    rows, want, n = [], [], 0
+    for i in range(3000):
+        own = [f"o{i}x{j}" for j in range(120)]
+        rows.append((n, None, " ".join(rng.permutation(common + own))))
+        n += 1
+        if i % 10 == 0:  # a chain of three: 200 words, 35 own ones changed at each step
+            for k in range(2):
+                own = own[35:] + [f"o{i}y{k}x{j}" for j in range(35)]
+                rows.append((n, None, " ".join(rng.permutation(common + own))))
+                want.append((n - 1, n))
+                n += 1
+    group = {r.doc_id: r.group_id for r in near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), 1, 0.5).collect()}
+    held = sum(group[a] == group[b] for a, b in want)
+    print(len(group), len(set(group.values())), held, len(want))
+    assert held >= 0.98 * len(want)
+    assert len(set(group.values())) >= 3000
+
+
+def test_by_key_beyond_the_limit(spark, rows, monkeypatch):
+    """Nothing is sent along: every join is by key, the groups are the same."""
+    monkeypatch.setattr(near_duplicates, "FEW", 0)
+    assert pairs(group_pairs(near_duplicate_groups(spark.createDataFrame(rows, SCHEMA), 3, 0.5))) == brute(rows, 3, 0.5)
+
+
 def test_blocks_meet_once(spark, monkeypatch):
     """Every two members of different roots meet in one cell, however the bucket is cut."""
     monkeypatch.setattr(near_duplicates, "BLOCK", 3)
