@@ -89,11 +89,57 @@ def test_cleaned_by_deltas_is_as_cleaned_at_once(spark):
         assert sorted((r.doc_id, r.text or "") for r in cleaned_by_deltas(df, deltas).collect()) == want
 
 
-def test_p1_cleaned_merges_deltas(spark, sf, monkeypatch):
+def test_changed_records_take_the_place_of_earlier_ones(spark):
+    first = [(i, "s" if i < 8 else "t", "общая строка\nодин") for i in range(14)]
+    later = [(0, "s", "совсем другое"), (1, "t", "общая строка\nодин"), (2, "s", "общая строка\nодин"), (3, None, None)]
+    state = LineCounts(spark)
+    for part in (first, later, later, [(3, "s", "один")]):
+        state.merge(spark.createDataFrame(part, SCHEMA))
+        state = LineCounts.resume(spark, state.save())
+    rows = {r[0]: r for r in first} | {r[0]: r for r in later} | {3: (3, "s", "один")}
+    assert got(state.occurrences()) == brute(list(rows.values()))
+    assert state.records().count() == 14
+
+
+def test_a_failed_merge_can_be_repeated(spark, monkeypatch):
+    rows = corpus(60)
+    state = LineCounts(spark)
+    state.merge(spark.createDataFrame(rows[:30], SCHEMA))
+    exists, calls = LineCounts._exists, []
+
+    def failing(self, path):
+        calls.append(path)
+        if len(calls) == 1:
+            raise OSError("lost")
+        return exists(self, path)
+
+    monkeypatch.setattr(LineCounts, "_exists", failing)
+    try:
+        state.merge(spark.createDataFrame(rows[30:], SCHEMA))
+    except OSError:
+        state.merge(spark.createDataFrame(rows[30:], SCHEMA))
+    assert len(calls) > 1 and got(state.occurrences()) == brute(rows)
+
+
+def test_by_key_beyond_the_limit(spark, monkeypatch):
+    from sievework.llm import site_lines
+
+    monkeypatch.setattr(site_lines, "FEW", 0)
+    rows = [r for n, r in enumerate(corpus(60)) if r[0] != 3 or n == 3]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(repeated_lines(df)) == brute(rows)
+    by_key = {r.doc_id: r.text for r in cleaned_by_deltas(df).collect()}
+    monkeypatch.setattr(site_lines, "FEW", 200_000)
+    assert {r.doc_id: r.text for r in cleaned_by_deltas(df).collect()} == by_key
+
+
+def test_p1_queries_merge_deltas(spark, sf, monkeypatch):
     sizes, merge = [], LineCounts.merge
     monkeypatch.setattr(LineCounts, "merge", lambda self, records: sizes.append(records.count()) or merge(self, records))
-    queries.p1_cleaned(spark, sf)
-    assert len(sizes) > 1 and all(sizes) and sum(sizes) == load(spark, sf, "local_document").filter("doc_id is not null").count()
+    for query in (queries.p1_found, queries.p1_cleaned):
+        sizes.clear()
+        query(spark, sf)
+        assert len(sizes) > 1 and all(sizes) and sum(sizes) == load(spark, sf, "local_document").filter("doc_id is not null").count()
 
 
 def test_queries_against_sql(spark, sf):
