@@ -22,8 +22,8 @@ from sievework.sources import with_columns
 
 #: Characters the rolling hash looks back.
 WINDOW = 32
-#: Configurations are sent to every task: they number in the tens.
-MAX_CONFIGS = 10_000
+#: Configurations are sent to every task; more than so many take further passes.
+CONFIGS = 10_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -60,6 +60,9 @@ class Boundaries:
         self.paragraphs = np.array([m.end() for m in _PARAGRAPH.finditer(text)], np.int64)
         self.sentences = np.array([m.end() for m in _SENTENCE.finditer(text)], np.int64)
         self.words = np.array([m.end() for m in _SPACE.finditer(text)], np.int64)
+        # A sentence begins after the white space that follows the end of the one before.
+        after = self.words.searchsorted(self.sentences, "right")
+        self.starts = self.words[after[after < len(self.words)]]
         self.code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.hashes = landmark_hashes(self.code)
 
@@ -75,12 +78,13 @@ class Boundaries:
             at -= 1
         return at
 
-    def begin(self, want: int, low: int, high: int) -> int:
-        """The start of an overlap near ``want``: of a sentence or word in [low, high], else there."""
-        for places in (self.paragraphs, self.words):
-            if (at := _nearest(places, want, low, high)) >= 0:
+    def begin(self, low: int, high: int) -> int:
+        """The start of an overlap: the first one of a paragraph, sentence or word in
+        [low, high], else ``low``."""
+        for places in (self.paragraphs, self.starts, self.words):
+            if (at := _nearest(places, low, low, high)) >= 0:
                 return at
-        return want
+        return low
 
 
 def _nearest(places: np.ndarray, mark: int, low: int, high: int) -> int:
@@ -97,8 +101,9 @@ def cut(text: str, size: int, overlap: int, bounds: Boundaries | None = None) ->
     """[start, stop) of the pieces, in code points; the whole text if it is not above ``size``.
 
     Every piece has at most ``size`` characters, all together cover the text, and each after
-    the first begins about ``overlap`` characters (a fifth more or less, to the next word)
-    before the end of the one before.
+    the first begins at most ``overlap`` characters before the end of the one before, and at
+    least four fifths of that: where a paragraph, a sentence or a word begins there, else
+    ``overlap`` characters before it.
     """
     n = len(text)
     if n <= size:
@@ -115,10 +120,8 @@ def cut(text: str, size: int, overlap: int, bounds: Boundaries | None = None) ->
         out.append((start, stop))
         start = stop
         if overlap:
-            slack = overlap // 5
-            start = bounds.begin(stop - overlap, max(out[-1][0] + 1, stop - overlap - slack), stop - overlap + slack)
-            # Every piece must get further than the one before.
-            start = max(start, stop - size + 1)
+            # A piece is longer than its overlap, so every piece gets further than the one before.
+            start = bounds.begin(stop - overlap, stop - overlap + overlap // 5)
 
 
 def split_texts(records: DataFrame, configs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -133,11 +136,16 @@ def split_texts(records: DataFrame, configs: DataFrame, with_text: bool = True)
     Empty tables give an empty result.
     """
     tune_arrow(records.sparkSession, 500)
-    usable = with_columns(configs, "config_id", "chunk_size", "chunk_overlap").filter("config_id is not null and chunk_size > 0").distinct().limit(MAX_CONFIGS + 1).collect()
-    if len(usable) > MAX_CONFIGS:
-        raise ValueError(f"more than {MAX_CONFIGS} configurations")
-    rows = [(r.config_id, r.chunk_size, r.chunk_overlap or 0) for r in usable if 0 <= (r.chunk_overlap or 0) < r.chunk_size]
+    usable = with_columns(configs, "config_id", "chunk_size", "chunk_overlap").select("config_id", "chunk_size", F.coalesce("chunk_overlap", F.lit(0)).alias("overlap")).filter("config_id is not null and chunk_size > 0 and overlap >= 0 and overlap < chunk_size").distinct()
+    blocks, out = max(1, -(-usable.count() // CONFIGS)), None
+    for k in range(blocks):
+        part = usable if blocks == 1 else usable.filter(F.pmod(F.xxhash64("config_id", "chunk_size", "overlap"), F.lit(blocks)) == k)
+        found = _split(records, [tuple(r) for r in part.collect()], with_text)
+        out = found if out is None else out.unionByName(found)
+    return out
 
+
+def _split(records: DataFrame, rows: list[tuple[int, int, int]], with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             config, doc, number, start, stop, piece = [], [], [], [], [], []

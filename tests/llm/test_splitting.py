@@ -17,6 +17,7 @@ def test_pieces(t, size, overlap):
         assert a < c <= b < d
         if not overlap:
             assert c == b
+        assert 0 <= b - c <= overlap
 
 
 def test_natural_boundaries():
@@ -40,7 +41,7 @@ def test_edits_move_only_neighbours():
 def test_overlap_is_about_right():
     t = "слово и дело " * 2000
     parts = cut(t, 700, 100)
-    assert all(70 <= b - c <= 130 for (_, b), (c, _) in zip(parts, parts[1:]))
+    assert all(80 <= b - c <= 100 for (_, b), (c, _) in zip(parts, parts[1:]))
 
 
 def test_tables(spark):
