@@ -243,17 +243,30 @@ def swap_table(page: str, read_as: str) -> dict[int, str]:
     return {point: char_of(page)[byte] for point, byte in byte_of(read_as).items() if byte >= 0x80}
 
 
+class _Bytes(dict):
+    """For translate(): characters to the bytes of a page, each byte as the character of that
+    number; what the page lacks becomes its own UTF-8."""
+
+    def __init__(self, page: str):
+        super().__init__({point: chr(byte) for point, byte in byte_of(page).items()})
+
+    def __missing__(self, point: int) -> str:
+        raw = self[point] = chr(point).encode("utf-8", "surrogatepass").decode("latin-1")
+        return raw
+
+
+@lru_cache(None)
+def _bytes_of(page: str) -> _Bytes:
+    return _Bytes(page)
+
+
 def undo(text: str, chain: tuple[str, ...]) -> str:
     """The text before the swaps of ``chain``; what a swap cannot have made stays as it is."""
     for page, read_as in reversed(list(zip(chain[::2], chain[1::2]))):
         if page != "utf-8":
             text = text.translate(swap_table(page, read_as))
-            continue
-        table, raw = byte_of(read_as), bytearray()
-        for ch in text:
-            b = table.get(ord(ch))
-            raw += bytes([b]) if b is not None else ch.encode("utf-8", "surrogatepass")
-        text = raw.decode("utf-8", "replace")
+        else:
+            text = text.translate(_bytes_of(read_as)).encode("latin-1").decode("utf-8", "replace")
     return text
 
 
@@ -581,39 +594,36 @@ def _learnt(symbol: str, known: str, mapping: dict[str, str]) -> str:
     return letter.upper() if known.isupper() else letter.lower()
 
 
+def differing(piece: str, mapping: dict[str, str], pages: tuple[str, ...]) -> bool:
+    """Whether the stretch has a symbol whose learnt letter is not the one of the pages."""
+    return any(x.lower() != undone(u, pages).lower() and u in piece for u, x in mapping.items())
+
+
 def read_words(piece: str, pages: tuple[str, ...], mapping: dict[str, str] | None = None) -> list[tuple[str, str]]:
     """(word, reading) of the words of a stretch that change: letters by the mapping, symbols
     it does not have by the pages."""
-    out = []
+    words = _TOKEN.findall(piece)
     if not pages:
         table = {ord(k): v for k, v in mapping.items()}
-    for word in _TOKEN.findall(piece):
-        if not pages:
-            plain = word.translate(table)
-        else:
-            plain = undo(word, pages)
-            if mapping is not None and plain != word:
-                if "utf-8" in pages:
-                    symbols = units(word, pages)
-                    plain = "".join(_learnt(u, undone(u, pages), mapping) for u in symbols)
-                else:
-                    plain = "".join(_learnt(u, k, mapping) for u, k in zip(word, plain))
-        if plain != word:
-            out.append((word, plain))
-    return out
+        both = [(w, w.translate(table)) for w in words]
+    elif mapping is None or not differing(piece, mapping, pages):
+        both = [(w, undo(w, pages)) for w in words]
+    else:
+        both = [(w, "".join(_learnt(u, undone(u, pages), mapping) for u in units(w, pages))) for w in words]
+    return [(w, plain) for w, plain in both if plain != w]
 
 
 def restored(piece: str, mapping: dict[str, str], pages: tuple[str, ...]) -> str:
     """The stretch through its pages where the learnt letters agree with them on four fifths of
     the stretch's letters, else letter by letter."""
-    symbols = units(piece, pages) if pages else list(piece)
-    if pages:
-        known = [undone(s, pages) for s in symbols] if "utf-8" in pages else list(undo(piece, pages))
-        judged = [(mapping.get(s, "").lower(), k.lower()) for s, k in zip(symbols, known) if len(k) == 1 and k.lower() in RUSSIAN]
-        if sum(a == b for a, b in judged) >= 0.8 * len(judged):
-            return undo(piece, pages)
-        return "".join(mapping.get(s) or k for s, k in zip(symbols, known))
-    return piece.translate({ord(k): v for k, v in mapping.items() if v and len(k) == 1})
+    if not pages:
+        return piece.translate({ord(k): v for k, v in mapping.items()})
+    if differing(piece, mapping, pages):
+        symbols = [(u, undone(u, pages)) for u in units(piece, pages)]
+        judged = [(mapping.get(u, "").lower(), k.lower()) for u, k in symbols if k.lower() in RUSSIAN and len(k) == 1]
+        if sum(a == b for a, b in judged) < 0.8 * len(judged):
+            return "".join(mapping.get(u) or k for u, k in symbols)
+    return undo(piece, pages)
 
 
 _TURN = re.compile(r"[a-zа-яё][A-ZА-ЯЁ]")
