@@ -38,6 +38,10 @@ _HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]")
 LOOK_ALIKE = str.maketrans("abcehikmoptuxyαβεηικμνορτυχѕјіё", "авсенікмортихуавенікмиортухsjіе")
 
 
+#: A word as stored: hidden and combining characters may stand within.
+_STORED = re.compile(rf"[^\W_](?:{_HIDDEN.pattern}*[^\W_])*{_HIDDEN.pattern}*")
+
+
 def normal_word(word: str) -> str:
     return word.lower().translate(LOOK_ALIKE)
 
@@ -170,22 +174,27 @@ class FMIndex:
 
 
 class Items:
-    """Questions and passages as numbers of their own vocabulary, and their runs."""
+    """Questions and passages as numbers of their own vocabulary, and their runs.
+
+    ``patterns[n]`` are the runs of n words that are searched: of ``run`` words from longer
+    items, and items of fewer words whole.  ``uses[n]`` has, for each, its items and places.
+    """
 
     def __init__(self, rows: list[tuple[str, str | None, str | None]], run: int = RUN):
         self.run, self.vocabulary, self.texts = run, {}, []
-        runs: dict[tuple, list[tuple[int, int]]] = {}
+        runs: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
         for item, query, passage in rows:
             for kind, text in ((0, query), (1, passage)):
                 seq = [self.vocabulary.setdefault(normal_word(w), len(self.vocabulary) + 1) for w in words_of(text or "")]
-                if len(seq) < run:  # too short to be told from a phrase in common use
+                if not seq:
                     continue
-                at = len(self.texts)
+                at, n = len(self.texts), min(run, len(seq))
                 self.texts.append((item, kind, len(seq)))
-                for i in range(len(seq) - run + 1):
-                    runs.setdefault(tuple(seq[i : i + run]), []).append((at, i))
-        self.patterns = np.array(list(runs), np.int64).reshape(-1, run)
-        self.uses = list(runs.values())
+                for i in range(len(seq) - n + 1):
+                    runs.setdefault(n, {}).setdefault(tuple(seq[i : i + n]), []).append((at, i))
+        self.patterns = {n: np.array(list(found), np.int64).reshape(-1, n) for n, found in runs.items()}
+        self.uses = {n: list(found.values()) for n, found in runs.items()}
+        self.shortest = min(runs, default=run)
         self.known: dict[str, int] = {}
 
     def numbers(self, text: str) -> list[int]:
@@ -238,35 +247,50 @@ def best_cover(runs: list[tuple[int, int, int]], length: int, reach: int) -> tup
     return best
 
 
+def _occurrences(index: FMIndex, items: Items, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of ``n`` words stand in the index, and (item, place) of their uses there."""
+    low, high = index.search(items.patterns[n])
+    size = high - low
+    which = np.repeat(np.arange(len(size)), size)
+    if not len(which):
+        return np.empty(0, np.int64), np.empty((0, 2), np.int64)
+    rows = np.repeat(low, size) + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    at = index.locate(rows)
+    # One row for each use of the run in an item.
+    uses = np.array([len(u) for u in items.uses[n]])
+    flat = np.array([x for u in items.uses[n] for x in u])
+    first = np.cumsum(uses) - uses
+    count = uses[which]
+    again = np.repeat(np.arange(len(which)), count)
+    return at[again], flat[np.repeat(first[which], count) + np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)]
+
+
 def _search(docs: list[tuple[int, np.ndarray]], items: Items) -> list[tuple[int, str, str, int, int, int]]:
     """(doc_id, item_id, part, words, begin, end) of one shard; begin and end in words."""
     run, seqs, places, owner = items.run, [], [], []
     for k, (_, seq) in enumerate(docs):
-        keep = kept_positions(seq, run)
+        keep = kept_positions(seq, items.shortest)
         if len(keep):
             seqs.append(np.append(seq, 0)[keep])
             places.append(keep)
             owner.append(np.full(len(keep), k))
-    if not seqs or not len(items.patterns):
+    if not seqs or not items.patterns:
         return []
     text = np.concatenate(seqs).astype(np.int64)
     place, doc = np.concatenate(places), np.concatenate(owner)
-    index = FMIndex(text, len(items.vocabulary))
-    low, high = index.search(items.patterns)
-    size = high - low
-    which = np.repeat(np.arange(len(size)), size)
-    if not len(which):
-        return []
-    rows = np.repeat(low, size) + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-    at = index.locate(rows)
-    # One row for each use of the run in an item.
-    uses = np.array([len(u) for u in items.uses])
-    flat = np.array([x for u in items.uses for x in u])
-    first = np.cumsum(uses) - uses
-    n = uses[which]
-    again = np.repeat(np.arange(len(which)), n)
-    use = flat[np.repeat(first[which], n) + np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)]
-    d, p, t, i = doc[at][again], place[at][again], use[:, 0], use[:, 1]
+    index, out = FMIndex(text, len(items.vocabulary)), []
+    for n in items.patterns:
+        if n < run:  # short items, each found whole
+            at, use = _occurrences(index, items, n)
+            for k, (t, _) in zip(at, use):
+                item, kind, words = items.texts[t]
+                out.append((docs[doc[k]][0], item, "passage" if kind else "query", words, int(place[k]), int(place[k]) + words))
+    if run not in items.patterns:
+        return out
+    at, use = _occurrences(index, items, run)
+    if not len(at):
+        return out
+    d, p, t, i = doc[at], place[at], use[:, 0], use[:, 1]
     # Neighbours on one diagonal are one run.
     by = np.lexsort((p, p - i, t, d))
     d, p, t, i = d[by], p[by], t[by], i[by]
@@ -274,7 +298,6 @@ def _search(docs: list[tuple[int, np.ndarray]], items: Items) -> list[tuple[int,
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(d)))
     d, p, t, i, w = d[begin], p[begin], t[begin], i[begin], count + run - 1
-    out = []
     kind = np.array([x[1] for x in items.texts])
     length = np.array([x[2] for x in items.texts])
     for k in np.flatnonzero((kind[t] == 0) & (w == length[t])):
@@ -306,26 +329,27 @@ def leaked_spans(documents: DataFrame, evaluation: DataFrame) -> DataFrame:
     and look-alike letters do not matter.
 
     Null or empty texts and null ids have no rows; questions or passages of fewer than six
-    words cannot be told from common phrases and are not searched.  Repeated rows of documents
-    or items give the same rows again, as one.  Empty tables give an empty result.
+    words are searched whole by the same index.  Repeated rows of documents or items give the
+    same rows again, as one.  Empty tables give an empty result.
     """
     spark = documents.sparkSession
     tune_arrow(spark, 500)
     held = evaluation.select(F.col("id").alias("item_id"), "query", F.col("source_chunk.text").alias("passage")).filter("item_id is not null").distinct()
-    size = held.agg(F.sum(F.length("query") + F.coalesce(F.length("passage"), F.lit(0)))).first()[0] or 0
+    size = held.agg(F.sum(F.coalesce(F.length("query"), F.lit(0)) + F.coalesce(F.length("passage"), F.lit(0)) + F.length("item_id"))).first()[0] or 0
     blocks = -(-int(size) // BLOCK_CHARS) or 1
     texts = with_columns(documents, "doc_id", "text").filter("doc_id is not null and text is not null and text <> ''")
     out = None
     for k in range(blocks):
         rows = held if blocks == 1 else held.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         items = Items([tuple(r) for r in rows.collect()])  # BLOCK_CHARS bounds what comes here
-        found = texts.mapInArrow(_runner(items), _FOUND)
+        found = texts.mapInArrow(_runner(spark.sparkContext.broadcast(items)), _FOUND)
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 
 
-def _runner(items: Items):
+def _runner(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: Items = sent.value
         docs: list[tuple[int, np.ndarray]] = []
         words = 0
 
@@ -361,8 +385,8 @@ def without_leaks(documents: DataFrame, spans: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         def one(t: str, found) -> str:
-            t = _HIDDEN.sub("", unicodedata.normalize("NFC", t)) if _HIDDEN.search(t) else t
-            where = [m.span() for m in WORD.finditer(t)]
+            # Places in the text as stored, which stays as it is around the stretches.
+            where = [m.span() for m in _STORED.finditer(t)]
             merged: list[list[int]] = []
             for b, s in sorted((x["begin"], x["stop"]) for x in found):
                 if merged and b <= merged[-1][1]:

@@ -79,6 +79,31 @@ def test_spans_are_cut(spark):
     assert out[6] == "Начало.  Конец" and out[7] == "x ? y"
 
 
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "Начало: какова СТАВКА налога? Конец"), (2, "какова ставка"), (3, "ставка налога"), (4, PASSAGE), (5, "ответ дан весной того года")], "doc_id bigint, text string")
+    items = spark.createDataFrame([("s", "какова ставка налога", None), ("p", None, ("ответ дан весной",)), ("a", QUERY, (PASSAGE,))], EVAL)
+    assert {(r.doc_id, r.item_id) for r in leaked_items(docs, items).collect()} == {(1, "s"), (5, "p"), (4, "a")}
+
+
+def test_items_in_blocks_and_null_questions(spark, monkeypatch):
+    """Questions that are null count by their passages, and blocks of items change nothing."""
+    from sievework.llm import leaks
+
+    texts = documents()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    items = spark.createDataFrame([("a", QUERY, (PASSAGE,)), *((f"n{i}", None, (f"{PASSAGE} {i}",)) for i in range(5))], EVAL)
+    whole = {tuple(r) for r in leaked_spans(docs, items).collect()}
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 300)
+    assert {tuple(r) for r in leaked_spans(docs, items).collect()} == whole and len({r[1] for r in whole}) == 6
+
+
+def test_the_rest_stays_as_stored(spark):
+    text = "При\u00adмер й é: " + PASSAGE + " — ко\u0301нец\u200b."
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    items = spark.createDataFrame([("a", QUERY, (PASSAGE,))], EVAL)
+    assert [r.text for r in without_leaks(docs, leaked_spans(docs, items)).collect()] == [text.replace(PASSAGE, "")]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, item_id string")
     assert leaked_items(docs, spark.createDataFrame([("a", QUERY, (PASSAGE,))], EVAL)).count() == 0
