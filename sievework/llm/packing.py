@@ -26,7 +26,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items of a group, on average; more room is left over the smaller groups are.
 GROUP_ITEMS = 20_000
-MAX_CONTAINERS = 1_000
+#: Containers are sent to every task; more than so many take further passes.
+CONTAINERS = 1_000
 
 
 class Tokenizer:
@@ -120,12 +121,17 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def sized_items(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(container_id, doc_id, piece_no, start, stop, tokens): what must be placed."""
     tune_arrow(documents.sparkSession, 500)
-    rows = with_columns(containers, "container_id", "capacity_tokens").filter("container_id is not null and capacity_tokens > 0").distinct().limit(MAX_CONTAINERS + 1).collect()
-    if len(rows) > MAX_CONTAINERS:
-        raise ValueError(f"more than {MAX_CONTAINERS} containers")
-    capacities = [(r.container_id, r.capacity_tokens) for r in rows]
     ranks = Path(vocabulary).read_bytes()  # under 1 MB; executors need no file of their own
+    usable = with_columns(containers, "container_id", "capacity_tokens").filter("container_id is not null and capacity_tokens > 0").dropDuplicates(["container_id"])
+    blocks, out = max(1, -(-usable.count() // CONTAINERS)), None
+    for k in range(blocks):
+        part = usable if blocks == 1 else usable.filter(F.pmod(F.xxhash64("container_id"), F.lit(blocks)) == k)
+        found = _sized(documents, [tuple(r) for r in part.collect()], ranks)
+        out = found if out is None else out.unionByName(found)
+    return out
 
+
+def _sized(documents: DataFrame, capacities: list[tuple[int, int]], ranks: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(ranks)
         for batch in batches:
@@ -166,7 +172,7 @@ def packed(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABU
     counts = items.groupBy("container_id").agg(F.count("*").alias("n"))
     plan = sizes.join(counts, "container_id").select("container_id", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator_tokens"), F.ceil(F.col("n") / group_items).alias("groups"))
     # Pieces are dealt one by one, so a text of many pieces does not fill one group.
-    dealt = items.join(F.broadcast(plan), "container_id").withColumn("group_no", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(seed)), "groups").cast("int"))
+    dealt = items.join(F.broadcast(plan) if plan.limit(CONTAINERS + 1).count() <= CONTAINERS else plan, "container_id").withColumn("group_no", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(seed)), "groups").cast("int"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece_no"], kind="stable")

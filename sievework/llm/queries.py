@@ -41,6 +41,32 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_texts(load(spark, sf, "local_document"), load(spark, sf, "chunking_config"))
 
 
+def p4_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """For each configuration and record whether its pieces cover the text, keep the size, and
+    begin within the overlap asked for; SQL says which pairs there are and that all is true."""
+    records, configs = load(spark, sf, "local_document"), load(spark, sf, "chunking_config")
+    each = splitting.split_texts(records, configs, with_text=False).distinct()
+    per = each.groupBy("config_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "start", "stop"))).alias("p"))
+    joined = per.join(F.broadcast(configs.select("config_id", "chunk_size", F.coalesce("chunk_overlap", F.lit(0)).alias("overlap"))), "config_id").join(records.select("doc_id", F.length("text").alias("chars")).distinct(), "doc_id")
+    steps = F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda x, i: F.get("p", i)["stop"] - x["start"])
+    return joined.select(
+        "config_id", "doc_id", ((F.get("p", F.lit(0))["start"] == 0) & (F.element_at("p", -1)["stop"] == F.col("chars")) & F.forall(steps, lambda x: x >= 0)).alias("covered"),
+        F.forall("p", lambda x: x["stop"] - x["start"] <= F.col("chunk_size")).alias("within_size"), F.forall(steps, lambda x: (x <= F.col("overlap")) & (x >= F.col("overlap") - F.floor(F.col("overlap") / 5))).alias("within_overlap"),
+        ((F.col("chars") > F.col("chunk_size")) == (F.size("p") > 1)).alias("cut_if_oversized"),
+    )
+
+
+def p6_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """For each container how many texts are placed, and whether each is placed exactly once
+    and whole, no bin is above the capacity and bins are nine tenths full together."""
+    documents, boxes = load(spark, sf, "documents"), load(spark, sf, "container_size")
+    rows = packing.packed(documents, boxes).join(F.broadcast(boxes.select("container_id", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("gap"))), "container_id")
+    bins = rows.groupBy("container_id", "capacity_tokens", "group_no", "bin_no").agg((F.sum("tokens") + F.first("gap") * (F.count("*") - 1)).alias("used"))
+    full = bins.groupBy("container_id").agg((F.max(F.col("used") - F.col("capacity_tokens")) <= 0).alias("within_capacity"), (F.sum("used") >= 0.9 * F.sum("capacity_tokens")).alias("nearly_full"))
+    texts = rows.groupBy("container_id", "doc_id").agg(F.sum(F.col("stop") - F.col("start")).alias("placed"), F.count_distinct("piece_no").alias("pieces"), F.count("*").alias("n")).join(documents.select("doc_id", F.length("text").alias("chars")), "doc_id")
+    return texts.groupBy("container_id").agg(F.count("*").alias("texts"), F.bool_and((F.col("placed") == F.col("chars")) & (F.col("pieces") == F.col("n"))).alias("once_and_whole")).join(full, "container_id")
+
+
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
     records = load(spark, sf, "local_document")
     return near_duplicates.near_duplicate_groups(records, words=3, threshold=0.5, min_chars=200, exclude=encoding.garbled_records(records))
@@ -89,7 +115,7 @@ repeated as (
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_cleaned, p2_found, p2_restored, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_packed, p7_found, p7_cleaned, p8_found, p8_shares)
+    own = (p1_found, p1_cleaned, p2_found, p2_restored, p3_found, p4_found, p4_pieces, p4_invariants, p5_found, p5_groups, p6_packed, p6_invariants, p7_found, p7_cleaned, p8_found, p8_shares)
     return {f.__name__: f for f in own}
 
 
@@ -103,6 +129,13 @@ join repeated r on k.source_code is not distinct from r.source_code and k.key =
   select k.doc_id, string_agg(k.line, chr(10) order by k.line_no) as text from keyed k
   where not exists (select 1 from repeated r where k.source_code is not distinct from r.source_code and k.key = r.key) group by k.doc_id)
 select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text from record d left join kept k on d.doc_id = k.doc_id""",
+        "p4_invariants": """
+select c.config_id, d.doc_id, true as covered, true as within_size, true as within_overlap, true as cut_if_oversized
+from chunking_config c, (select distinct doc_id, text from local_document) d
+where c.chunk_size > 0 and coalesce(c.chunk_overlap, 0) between 0 and c.chunk_size - 1 and d.text is not null""",
+        "p6_invariants": """
+select c.container_id, count(*) as texts, true as once_and_whole, true as within_capacity, true as nearly_full
+from container_size c, documents d where c.capacity_tokens > 0 and d.text is not null group by c.container_id""",
         "p4_found": """
 select distinct c.config_id, d.doc_id from chunking_config c, local_document d
 where c.chunk_size > 0 and coalesce(c.chunk_overlap, 0) between 0 and c.chunk_size - 1 and length(d.text) > c.chunk_size""",

@@ -67,6 +67,16 @@ def test_packed(spark, tokenizer):
     assert {r.container_id for r in rows} == {1, 2}
 
 
+def test_containers_in_blocks(spark, monkeypatch):
+    from sievework.llm import packing
+
+    docs = spark.createDataFrame([(i, "налог и сбор " * (i % 40)) for i in range(60)], "doc_id bigint, text string")
+    boxes = spark.createDataFrame([(1, 128, 2), (2, 64, None), (3, 32, 1)], CONTAINERS)
+    whole = {tuple(r) for r in packed(docs, boxes).collect()}
+    monkeypatch.setattr(packing, "CONTAINERS", 1)
+    assert {tuple(r) for r in packed(docs, boxes).collect()} == whole
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert packed(docs, spark.createDataFrame([(1, 512, 2)], CONTAINERS)).count() == 0

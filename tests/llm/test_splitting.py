@@ -55,6 +55,24 @@ def test_tables(spark):
     assert split_texts(docs.limit(0), confs).count() == 0 and split_texts(docs, confs.limit(0)).count() == 0
 
 
+def test_configurations_in_blocks(spark, monkeypatch):
+    from sievework.llm import splitting
+
+    docs = spark.createDataFrame([(i, "слово и дело. " * i) for i in range(20)], "doc_id bigint, text string")
+    confs = spark.createDataFrame([(1, 10, 3), (2, 30, 1), (3, 50, 10)], "config_id int, chunk_size int, chunk_overlap int")
+    whole = {tuple(r) for r in split_texts(docs, confs).collect()}
+    monkeypatch.setattr(splitting, "CONFIGS", 1)
+    assert {tuple(r) for r in split_texts(docs, confs).collect()} == whole
+
+
+def test_invariants_against_sql(spark, sf):
+    from sievework.llm import queries
+    from tests.oracle import check
+
+    for name in ("p4_invariants", "p6_invariants"):
+        check(spark, sf, queries.queries()[name], queries.oracle_sql()[name])
+
+
 def test_boundaries_of_nothing():
     b = Boundaries("")
     assert len(b.hashes) == 1
