@@ -23,13 +23,16 @@ _own_root: str | None = None
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a private folder is made, once per process, and
-    removed when the process ends.
+    Where that is unset a master of ``local`` gets a private folder, once per process, which is
+    removed when the process ends; on a cluster it is an error, as executors would each write
+    to a disk of their own.
     """
     global _own_root
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="sievework-")
         atexit.register(shutil.rmtree, _own_root, True)
@@ -41,13 +44,32 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back (lineage ends there)."""
+    """Write ``df`` to the shared folder and return the table read back (lineage ends there).
+
+    The table is needed as long as a plan that reads it may run, which only the caller knows:
+    ``drop_tables`` removes what a session has written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def mark() -> int:
+    """A point to which ``drop_tables`` goes back."""
+    return len(_written)
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> None:
+    """Remove the intermediate tables written since a mark, when their results are stored."""
+    while len(_written) > since:
+        drop_path(spark, _written.pop())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder, on whatever file system it lies."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

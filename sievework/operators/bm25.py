@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.durable import durable, tune_arrow
-from sievework.functions.text import terms
+from sievework.functions.text import FOLDED_TERM, terms
 
 K1, B = 1.5, 0.75
-#: Query terms are sent to every executor up to this number (a few MB), else joined by key.
-BROADCAST_TERMS = 200_000
 #: Queries scored in one pass.
 BLOCK = 2048
 
@@ -41,111 +43,106 @@ def top_per_query(scored: DataFrame, k: int, score: str = "score", tie: str = "d
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _postings(corpus: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, doc_id, dl, tf) of terms that a query holds, and (term, idf)."""
-    wanted = asked.select("term").distinct()
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    # Built and counted below the generator, so once for each document.
-    counted = corpus.select("doc_id", terms(F.col("text")).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("dl"))
-    found = counted.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    # Frequencies and scores both read the postings, so they are written once.
-    postings = durable(found.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # One row of statistics, and as many of frequencies as there are query terms.
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.crossJoin(F.broadcast(corpus_stats(corpus))).select("term", "avgdl", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(weighted, "term").select("term", "doc_id", part.alias("part")), weighted
-
-
-def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of every pair with a score above 0.
-
-    ``corpus``: ``doc_id, text``; ``queries``: ``query_id, query``.  Only postings of terms that
-    a query holds leave the scan.
-    """
-    asked = query_terms(queries)
-    parts, _ = _postings(corpus, asked)
-    return parts.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).filter("score > 0")
+_WORD = re.compile(FOLDED_TERM)
+
+
+def _folded_terms(text: str) -> list[str]:
+    """As ``terms`` gives them, in a worker."""
+    return _WORD.findall(text.lower().replace("ё", "е"))
+
+
+def _statistics(corpus: DataFrame, wanted: set[str] | None) -> DataFrame:
+    """(term, df, dl): documents that hold each wanted term (None: all); the row without a term
+    counts the documents with any and the sum of their lengths.  One pass, summed map-side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = length = 0
+        df: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                found = _folded_terms(text.as_py())
+                docs += bool(found)
+                length += len(found)
+                held = set(found)
+                df.update(held if wanted is None else held & wanted)
+                if len(df) > 1_000_000:  # of all terms: pass them on
+                    yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(df.values(), pa.int64()), pa.array([0] * len(df), pa.int64())], ["term", "df", "dl"])
+                    df.clear()
+        names, counts = [None, *df], [docs, *df.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array([length] + [0] * len(df), pa.int64())], ["term", "df", "dl"])
+
+    texts = corpus.select("text").filter("text is not null")
+    return texts.mapInArrow(run, "term string, df bigint, dl bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank).
 
-    Common terms pair nearly every query with nearly every document, so the pairs are not
-    built: postings are brought together by document, and each task multiplies its documents'
-    term weights with the queries' terms and keeps its own k best for each query.  Queries pass
-    in blocks.
+    Common terms pair nearly every query with nearly every document, so neither postings nor
+    pairs are shuffled: a first pass counts the documents of the queries' terms, a second adds
+    up, for each document where it lies, the weights of its terms over the lists of queries
+    that hold them, and each task keeps its own k best for each query.  Queries pass in blocks;
+    a task is sent the terms and frequencies of one block.
     """
     spark = corpus.sparkSession
-    tune_arrow(spark, 50_000)
-    asked = query_terms(queries)
-    parts, _ = _postings(corpus, asked)
+    tune_arrow(spark, 1000)
+    asked = durable(query_terms(queries), "asked")
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, doc_id bigint, score double"
-    by_doc = durable(parts.repartition("doc_id").sortWithinPartitions("doc_id"), "by-doc")
-    blocks = max(1, -(-asked.select("query_id").distinct().count() // block))
-    out = None
+    blocks, out = max(1, -(-asked.select("query_id").distinct().count() // block)), None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.collect()  # the terms of about ``block`` queries
-        if not rows:
+        lists: dict[str, list[int]] = {}
+        at: dict = {}
+        for query, term in part.orderBy("query_id", "term").collect():  # the terms of about ``block`` queries
+            lists.setdefault(term, []).append(at.setdefault(query, len(at)))
+        if not lists:
+            continue
+        counted = {r.term: (r.df, r.dl) for r in _statistics(corpus, set(lists)).collect()}
+        n, length = counted.pop(None, (0, 0))
+        if not n:
             continue
-        ids = sorted({r[0] for r in rows})
-        at, words = {q: i for i, q in enumerate(ids)}, {}
-        for r in rows:
-            words.setdefault(r[1], []).append(at[r[0]])
-        index = {t: i for i, t in enumerate(words)}
-        matrix = np.zeros((len(words), len(ids)))
-        for t, qs in words.items():
-            matrix[index[t], qs] = 1.0
-        found = by_doc.mapInPandas(_ranker(ids, index, matrix, k), schema)
+        weight = {t: (log(1 + (n - df + 0.5) / (df + 0.5)), np.array(lists[t])) for t, (df, _) in counted.items()}
+        sent = spark.sparkContext.broadcast((list(at), weight, length / n))
+        found = corpus.select("doc_id", "text").filter("text is not null").mapInPandas(_ranker(sent, k), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)
     return top_per_query(out, k)
 
 
-def _ranker(ids: list, index: dict[str, int], matrix: np.ndarray, k: int):
-    docs_at_once = max(16, 4_000_000 // max(1, len(index)))
-
+def _ranker(sent, k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, weight, average = sent.value
         best_s, best_d = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        at_once = max(1, min(512, 4_000_000 // len(ids)))
+        rows, names = [], []
 
-        def add(docs: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        def merge() -> None:
             nonlocal best_s, best_d
-            names, row = np.unique(docs, return_inverse=True)
-            for low in range(0, len(names), docs_at_once):
-                inside = (row >= low) & (row < low + docs_at_once)
-                size = min(docs_at_once, len(names) - low)
-                table = np.zeros((size, len(index)))
-                table[row[inside] - low, term[inside]] = weight[inside]
-                s = np.round((table @ matrix).T, 6)
-                s[s <= 0] = -np.inf
-                d = np.broadcast_to(names[low : low + size], s.shape)
-                s, d = np.concatenate((best_s, s), 1), np.concatenate((best_d, d), 1)
-                order = np.lexsort((d, -s))[:, :k]
-                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-
-        rest: list[tuple] = []
+            s = np.round(np.array(rows).T, 6)
+            s[s <= 0] = -np.inf
+            s, d = np.concatenate((best_s, s), 1), np.concatenate((best_d, np.broadcast_to(np.array(names, np.int64), s.shape)), 1)
+            order = np.lexsort((d, -s))[:, :k]
+            best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+            rows.clear()
+            names.clear()
+
         for frame in frames:
-            number = frame.term.map(index)
-            use = number.notna().to_numpy()
-            docs, term, weight = frame.doc_id.to_numpy(np.int64), number.fillna(-1).to_numpy(np.int64), frame.part.to_numpy(float)
-            if rest:
-                docs, term, weight, use = (np.concatenate(x) for x in zip(rest[0], (docs, term, weight, use)))
-            if not len(docs):
-                continue
-            # Rows come by document: the last one may go on in the next batch.
-            done = docs != docs[-1]
-            rest = [(docs[~done], term[~done], weight[~done], use[~done])]
-            take = done & use
-            if take.any():
-                add(docs[take], term[take], weight[take])
-        if rest and rest[0][3].any():
-            docs, term, weight, use = rest[0]
-            add(docs[use], term[use], weight[use])
+            for doc, text in zip(frame.doc_id, frame.text):
+                found = _folded_terms(text)
+                held = [(weight[t], tf) for t, tf in Counter(found).items() if t in weight]
+                if not held:
+                    continue
+                norm = K1 * (1 - B + B * len(found) / average)
+                values = [idf * tf * (K1 + 1) / (tf + norm) for (idf, _), tf in held]
+                sizes = [len(q) for (_, q), _ in held]
+                rows.append(np.bincount(np.concatenate([q for (_, q), _ in held]), np.repeat(values, sizes), len(ids)))
+                names.append(doc)
+                if len(rows) >= at_once:
+                    merge()
+        if rows:
+            merge()
         n = best_s.shape[1]
         if n:
             keep = np.isfinite(best_s.ravel())

@@ -17,6 +17,11 @@ from sievework.operators import lines
 PROFILES = ("raw", "clean_basic", "clean_legal", "clean_aggressive", "clean_no_boilerplate")
 
 
+# Entities resolved before all others, and the warnings of a report.
+ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
+TOO_MUCH, TOO_SHORT = "High removed_char_ratio; cleaning may be too aggressive.", "Cleaned text is very short."
+
+
 @F.pandas_udf(StringType())
 def _composed(text: pd.Series) -> pd.Series:
     """Entities resolved (named ones first, so twice-escaped ones come out) and accents composed:
@@ -26,7 +31,7 @@ def _composed(text: pd.Series) -> pd.Series:
         if t is None:
             return None
         if "&" in t:
-            for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+            for a, b in ENTITIES:
                 t = t.replace(a, b)
             t = html.unescape(t)
         return t if t.isascii() else unicodedata.normalize("NFC", t)
@@ -44,7 +49,7 @@ def cleaned(corpus: DataFrame, profile: str, key: str = "doc_id", text: str = "t
     The boilerplate profile counts lines over the uncleaned texts of the same corpus.
     """
     if profile not in PROFILES:
-        raise ValueError(f"Unsupported cleaning profile {profile!r}. Expected one of: {', '.join(PROFILES)}")
+        raise ValueError(f"no cleaning profile {profile!r}; there are {', '.join(PROFILES)}")
     ship(corpus.sparkSession)
     rows = corpus.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("source"))
     if profile == "raw":
@@ -57,8 +62,8 @@ def cleaned(corpus: DataFrame, profile: str, key: str = "doc_id", text: str = "t
         if profile == "clean_aggressive":
             out = out.withColumn("text", lines.without_noise(F.col("text"))).withColumn("text", lines.without_repeats(F.col("text")))
         if profile == "clean_no_boilerplate":
-            gone = lines.boilerplate_lines(corpus, text).agg(F.collect_set("line_key").alias("gone"))
-            rest = lines.kept(F.col("text"), lambda x: lines.legal_folded(x["folded"]) | ~F.array_contains(F.col("gone"), x["folded"]))
+            gone = lines.gone_lines(lines.boilerplate_lines(corpus, text))
+            rest = lines.kept(F.col("text"), lambda x: ~F.array_contains(F.col("gone"), x["folded"]) | lines.legal_folded(x["folded"]))
             out = out.crossJoin(F.broadcast(gone)).withColumn("text", rest).drop("gone")
     return out.withColumnRenamed("key", key)
 
@@ -68,7 +73,7 @@ def with_report(cleaned_texts: DataFrame) -> DataFrame:
     a, b = F.length("source"), F.length("text")
     ratio = F.when(a > 0, F.greatest(F.lit(0.0), (a - b) / a)).otherwise(0.0)
     gone = F.greatest(F.lit(0), F.size(lines.split_lines(F.col("source"))) - F.size(lines.split_lines(F.col("text"))))
-    warnings = F.filter(F.array(F.when(F.col("removed_ratio") > 0.5, F.lit("High removed_char_ratio; cleaning may be too aggressive.")), F.when(b < 200, F.lit("Cleaned text is very short."))), lambda x: x.isNotNull())
+    warnings = F.filter(F.array(F.when(F.col("removed_ratio") > 0.5, F.lit(TOO_MUCH)), F.when(b < 200, F.lit(TOO_SHORT))), lambda x: x.isNotNull())
     return cleaned_texts.withColumns({"original_chars": a, "cleaned_chars": b, "removed_ratio": ratio, "removed_lines": gone}).withColumn("warnings", warnings)
 
 

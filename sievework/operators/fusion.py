@@ -10,6 +10,10 @@ from sievework.functions.text import overlap_coefficient, terms
 from sievework.operators.bm25 import top_per_query
 
 
+#: Candidate ids that are sent to every executor; more are joined by key.
+FEW = 500_000
+
+
 def rrf(dense: DataFrame, lexical: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two lists (query_id, doc_id, score, rank).
 
@@ -27,7 +31,11 @@ def rerank_by_overlap(ranked: DataFrame, queries: DataFrame, corpus: DataFrame,
     The text is fetched for candidates only.
     """
     want = ranked.select("query_id", "doc_id", F.col("rank").alias("rank_before"), F.col("score").alias("score_before"))
-    texts = corpus.select("doc_id", terms(F.col("text")).alias("doc_terms"))
+    # Terms are made of the candidates' texts only: a semi-join on ids comes first.
+    ids = ranked.select("doc_id").distinct()
+    if ids.limit(FEW + 1).count() <= FEW:
+        ids = F.broadcast(ids)
+    texts = corpus.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", terms(F.col("text")).alias("doc_terms"))
     asked = queries.select("query_id", terms(F.col("query")).alias("query_terms"))
     scored = want.join(texts, "doc_id").join(asked, "query_id").withColumn("score", F.round(overlap_coefficient(F.col("query_terms"), F.col("doc_terms")), 6))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank_before")

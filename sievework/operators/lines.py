@@ -88,7 +88,16 @@ def is_noise(line: Column) -> Column:
 
 
 def normal_lines(text: Column) -> Column:
-    return F.transform(split_lines(F.coalesce(text, F.lit(""))), normal_line)
+    """The lines of a text, each normal: every pattern passes once over the text, not over each
+    line."""
+    text = F.coalesce(text, F.lit(""))
+    t = F.replace(F.regexp_replace(text, LINE_BREAK, "\n"), F.lit("\u00a0"), F.lit(" "))
+    t = F.regexp_replace(F.regexp_replace(t, CONTROL, ""), "[ \\t]{2,}", " ")
+    t = F.regexp_replace(F.regexp_replace(t, "[ \\t]?\\n[ \\t]?", "\n"), "^[ \\t]+|[ \\t]+$", "")
+    lines = F.split(t, "\n", -1)
+    # No empty line after a final break, and none of an empty text.
+    ends = F.substring(text, -1, 1).rlike(LINE_BREAK) | (text == "")
+    return F.when(ends, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
 
 
 def folded_lines(text: Column) -> Column:
@@ -109,45 +118,51 @@ def boilerplate_lines(corpus: DataFrame, text: str = "text", share: float = SHAR
     """(line_key, docs): lines without legal content in more than ``share`` of the documents.
 
     ``corpus``: one row per document.  Lines are made distinct within their row, so the counts
-    are summed map-side and only keys are shuffled.
+    are summed map-side and only keys are shuffled; legal content is looked for in the few
+    lines above the share.
     """
     filled = corpus.select(F.col(text).alias("text")).filter(F.col("text").rlike(SOMETHING))
-    short = F.filter(folded_lines(F.col("text")), lambda x: (x["line"] != "") & (F.length(x["line"]) <= longest))
-    keys = filled.select(F.explode(F.array_distinct(F.transform(F.filter(short, lambda x: ~legal_folded(x["folded"])), lambda x: x["folded"]))).alias("line_key"))
+    short = F.filter(normal_lines(F.col("text")), lambda x: (x != "") & (F.length(x) <= longest))
+    keys = filled.select(F.explode(F.array_distinct(F.transform(short, fold))).alias("line_key"))
     counts = keys.groupBy("line_key").agg(F.count("*").alias("docs"))
     total = filled.agg(F.count("*").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).filter(F.col("docs") > F.col("total") * share).select("line_key", "docs")
+    often = counts.crossJoin(F.broadcast(total)).filter(F.col("docs") > F.col("total") * share)
+    return often.filter(~legal_folded(F.col("line_key"))).select("line_key", "docs")
 
 
-def without_boilerplate(corpus: DataFrame, boilerplate: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text) without boilerplate lines; lines of legal content stay.
+#: Boilerplate lines that are sent along as one array; more are an error of their threshold.
+MOST_LINES = 100_000
+
 
-    Boilerplate stands in over a twentieth of the documents each: there are at most twenty
-    times the lines of a text of it, which are sent along as one array.
+def gone_lines(boilerplate: DataFrame) -> DataFrame:
+    """One row with the array of boilerplate lines, for a broadcast.
+
+    A line of boilerplate stands in over a twentieth of the documents, so there are at most
+    twenty times the lines of one text of it; with a threshold near 0 there may be more than
+    can be sent, which is checked.
     """
-    gone = boilerplate.agg(F.collect_set("line_key").alias("gone"))
-    rest = kept(F.col(text), lambda x: legal_folded(x["folded"]) | ~F.array_contains(F.col("gone"), x["folded"]))
-    return corpus.select(key, text).crossJoin(F.broadcast(gone)).select(key, rest.alias("text"))
+    few = F.when(F.count("*") <= MOST_LINES, F.collect_set("line_key")).otherwise(F.raise_error(F.lit("too many boilerplate lines: raise the share")).cast("array<string>"))
+    return boilerplate.limit(MOST_LINES + 1).agg(few.alias("gone"))
 
 
+def without_boilerplate(corpus: DataFrame, boilerplate: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) without boilerplate lines; lines of legal content stay."""
+    rest = kept(F.col(text), lambda x: ~F.array_contains(F.col("gone"), x["folded"]) | legal_folded(x["folded"]))
+    return corpus.select(key, text).crossJoin(F.broadcast(gone_lines(boilerplate))).select(key, rest.alias("text"))
+
+
+# The cheap conditions stand first: legal content is looked for only in lines that would go.
 def without_navigation(text: Column) -> Column:
-    return kept(text, lambda x: (x["line"] == "") | legal_folded(x["folded"]) | ~x["folded"].rlike(NAVIGATION))
+    return kept(text, lambda x: (x["line"] == "") | ~x["folded"].rlike(NAVIGATION) | legal_folded(x["folded"]))
 
 
 def without_noise(text: Column) -> Column:
-    return kept(text, lambda x: (x["line"] == "") | legal_folded(x["folded"]) | ~(x["folded"].rlike(NAVIGATION) | is_noise(x["line"])))
+    return kept(text, lambda x: (x["line"] == "") | ~(is_noise(x["line"]) | x["folded"].rlike(NAVIGATION)) | legal_folded(x["folded"]))
 
 
 def without_repeats(text: Column) -> Column:
     """The first of equal lines stays; lines of legal content all stay."""
-    # One pass over the lines: a line is appended unless its key is there already.
-    seen = F.struct(F.array().cast("array<string>").alias("lines"), F.array().cast("array<string>").alias("keys"))
-
-    def add(state: Column, x: Column) -> Column:
-        plain = (x["line"] == "") | legal_folded(x["folded"])
-        known = F.array_contains(state["keys"], x["folded"])
-        return F.when(plain, F.struct(F.array_append(state["lines"], x["line"]).alias("lines"), state["keys"].alias("keys"))).when(known, state).otherwise(
-            F.struct(F.array_append(state["lines"], x["line"]).alias("lines"), F.array_append(state["keys"], x["folded"]).alias("keys"))
-        )
-
-    return joined(F.aggregate(folded_lines(text), seen, add, lambda s: s["lines"]))
+    rows = folded_lines(text)
+    keys = F.transform(rows, lambda x: x["folded"])
+    fine = F.filter(rows, lambda x, i: (x["line"] == "") | (F.array_position(keys, x["folded"]) == i + 1) | legal_folded(x["folded"]))
+    return joined(F.transform(fine, lambda x: x["line"]))

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from sievework.functions.numbers import cosine, dot, sigmoid, unit
 from sievework.functions.text import terms
 from sievework.operators import bm25, dense, fusion
-from sievework.sources import load
+from sievework.durable import durable
+from sievework.sources import load, spread
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "eval_record").select(F.col("id").alias("query_id"), "query")
 
 
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(load(spark, sf, "documents").select("doc_id", "text"))
+
+
 def bm25_corpus_stats(spark, sf):
     return bm25.corpus_stats(load(spark, sf, "documents")).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
@@ -24,7 +29,7 @@ def bm25_term_df(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    return bm25.bm25_topk(load(spark, sf, "documents"), _questions(spark, sf), 10)
+    return bm25.bm25_topk(_corpus(spark, sf), _questions(spark, sf), 10)
 
 
 def _points(spark, sf):
@@ -61,14 +66,15 @@ def _titled(spark, sf):
 
 
 def hybrid_rrf(spark, sf):
-    lexical = bm25.bm25_topk(load(spark, sf, "documents"), _titled(spark, sf), 50)
+    lexical = bm25.bm25_topk(_corpus(spark, sf), _titled(spark, sf), 50)
     near = dense.dense_topk(_points(spark, sf), _vector_queries(spark, sf), 50)
     return fusion.rrf(near, lexical, 10).select("query_id", "doc_id", "score", "rank", "rank_dense", "rank_bm25")
 
 
 def rerank_overlap(spark, sf):
-    documents, questions = load(spark, sf, "documents"), _questions(spark, sf)
-    return fusion.rerank_by_overlap(bm25.bm25_topk(documents, questions, 50), questions, documents, 5)
+    documents, questions = _corpus(spark, sf), _questions(spark, sf)
+    # The candidates are read twice, so they are ranked once.
+    return fusion.rerank_by_overlap(durable(bm25.bm25_topk(documents, questions, 50), "candidates"), questions, documents, 5)
 
 
 def _retrieved(spark, sf):

@@ -9,16 +9,16 @@ from sievework.durable import ship
 from sievework.functions import text as tx
 from sievework.operators import chunkers, cleaning, lines, questions
 from sievework.plans.retrieval import sql_terms
-from sievework.sources import load, one_each
+from sievework.sources import load, one_each, spread
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", "text")
+    return spread(load(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     """Loaded records, some of which were delivered twice."""
-    return one_each(load(spark, sf, "local_document").select("doc_id", "text"), "doc_id")
+    return spread(one_each(load(spark, sf, "local_document").select("doc_id", "text"), "doc_id"))
 
 
 def boilerplate_lines(spark, sf):

@@ -1,5 +1,5 @@
 """Reading and writing tables and files."""
 
-from sievework.sources.tables import load, one_each, with_columns
+from sievework.sources.tables import load, one_each, spread, with_columns
 
-__all__ = ["load", "one_each", "with_columns"]
+__all__ = ["load", "one_each", "spread", "with_columns"]

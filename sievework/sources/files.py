@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sievework.durable import drop_path
 from sievework.functions.text import present, strip
 
 # Names under which a corpus record keeps its fields.
@@ -74,11 +73,28 @@ def write_json_lines(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def swap_table(fresh: DataFrame, path: str) -> None:
-    """Replace a Parquet table by rows that may have been read from it: written beside it, then
-    renamed, so a failure leaves the old one."""
-    spark, beside = fresh.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-    fresh.write.parquet(beside)
-    drop_path(spark, path)
+    """Replace a Parquet table by rows that may have been read from it.
+
+    The rows are written beside it; then the old table is renamed away and the new one takes
+    its name.  A failure in between leaves both, and ``restored_table`` puts the old one back.
+    """
+    spark, base = fresh.sparkSession, path.rstrip("/")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target, old, beside = hadoop(base), hadoop(f"{base}.old"), hadoop(f"{base}-{uuid.uuid4().hex[:8]}")
+    fresh.write.parquet(beside.toString())
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        files.delete(old, True)
+        files.rename(target, old)
+    files.rename(beside, target)
+    files.delete(old, True)
+
+
+def restored_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table; where a swap broke off after the old one was renamed away, the old one."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    target = hadoop(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).rename(hadoop(beside), target)
+    target, old = hadoop(path.rstrip("/")), hadoop(f"{path.rstrip('/')}.old")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target) and files.exists(old):
+        files.rename(old, target)
+    return spark.read.parquet(path)

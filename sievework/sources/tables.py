@@ -33,3 +33,13 @@ def one_each(df: DataFrame, key: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     again = rows.join(twice, key, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
     return rows.join(twice, key, "left_anti").unionByName(again)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the scan has no more splits than there are cores.
+
+    A small table may be one row group, which one task would read and work on alone; a table
+    of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
