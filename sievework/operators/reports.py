@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import citations
-from sievework.functions.text import rstrip, strip
+from sievework.functions.text import html_escape, rstrip, strip
 
 SHEET = (
     "id", "query", "answer", "gold_relevant_context_preview", "hard_negative_context_preview", "unknown_context_preview", "gold_relevant_ranks", "has_gold_relevant_context",
@@ -59,15 +59,21 @@ def snippet(number: Column, chunk: Column, limit: int = 500) -> Column:
     return F.concat(F.lit("["), number.cast("string"), F.lit("] ("), name, F.lit(")"), score, F.lit("\n"), _cut(text, limit, "…"))
 
 
-def final_answer(answer: Column, sources: Column) -> Column:
-    """The answer with its own list of sources removed, citations numbered anew, and the cited
-    sources listed; without citations nothing is listed.  ``sources``: array of title and
-    canonical_url."""
+def final_answer(answer: Column, sources: Column, names: Column | None = None, bases: Column | None = None, titled: tuple[str, ...] = (), html: bool = False) -> Column:
+    """The answer with its own section of sources cut, valid citations numbered anew, and the
+    cited sources listed; without valid citations nothing is listed.
+
+    ``sources``: array of source_code, external_id, title, canonical_url; ``names`` and
+    ``bases``: maps of source code to display name and address.  With ``html`` the answer is
+    escaped and the sources are links.
+    """
     text = rstrip(citations.without_own_sources(answer))
     n = F.size(F.coalesce(sources, F.array()))
     order = citations.used(text, n)
-    lines = F.transform(order, lambda k, i: citations.source_line(i + 1, F.element_at(sources, k)["title"], F.element_at(sources, k)["canonical_url"]))
-    return F.when(F.size(order) == 0, text).otherwise(F.concat(citations.renumbered(text, n), F.lit("\n\nИсточники:\n"), F.array_join(lines, "\n")))
+    one = lambda k: F.element_at(sources, k)
+    lines = F.transform(order, lambda k, i: citations.source_line(i + 1, citations.source_name(one(k), names, titled), citations.source_url(one(k), bases), html))
+    shown = html_escape if html else (lambda x: x)
+    return F.when(F.size(order) == 0, shown(text)).otherwise(F.concat(rstrip(shown(citations.renumbered(text, n))), F.lit("\n\nИсточники:\n"), F.array_join(lines, "\n")))
 
 
 def with_source_chunk(candidates: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:

@@ -175,12 +175,22 @@ def citation_renumber(spark, sf):
     return r.select("id", F.array_join(F.transform(citations.used(F.col("answer"), F.col("n")), lambda x: x.cast("string")), ",").alias("order"), citations.renumbered(F.col("answer"), F.col("n")).alias("answer"))
 
 
+def source_catalogue_maps(spark, sf):
+    """One row (bases): the address of each source; the catalogue has a row for each."""
+    return load(spark, sf, "rag_source").filter("code is not null and base_url is not null").agg(F.map_from_entries(F.collect_list(F.struct("code", "base_url"))).alias("bases"))
+
+
+#: Sources whose titles name the document.
+TITLED = ("work_calendar", "fed_orders")
+
+
 def source_lines(spark, sf):
     """Sources an answer cites, numbered anew, as lines and as links."""
     r = _records(spark, sf, "answer", "retrieved").withColumn("n", F.size(F.coalesce("retrieved", F.array())))
-    cited = r.select("id", "retrieved", F.posexplode(citations.used(F.col("answer"), F.col("n"))).alias("place", "number"))
-    s = F.element_at("retrieved", F.col("number"))
-    return cited.select("id", (F.col("place") + 1).alias("number"), citations.source_line(F.col("place") + 1, s["title"], s["canonical_url"]).alias("line"), citations.source_line(F.col("place") + 1, s["title"], s["canonical_url"], html=True).alias("link"))
+    cited = r.select("id", "retrieved", F.posexplode(citations.used(F.col("answer"), F.col("n"))).alias("place", "number")).crossJoin(F.broadcast(source_catalogue_maps(spark, sf)))
+    s, number = F.element_at("retrieved", F.col("number")), F.col("place") + 1
+    name, url = citations.source_name(s, None, TITLED), citations.source_url(s, F.col("bases"))
+    return cited.select("id", number.alias("number"), citations.source_line(number, name, url).alias("line"), citations.source_line(number, name, url, html=True).alias("link"))
 
 
 def history_window(spark, sf):
@@ -316,6 +326,34 @@ _USED = "list_filter(list_filter(cited, lambda x, i: list_position(cited, x) = i
 _NAME = "coalesce(nullif(s.title, ''), s.canonical_url, '')"
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
+def _renumbered_sql(text: str, used: str) -> str:
+    """Text between marks and marks in turn, valid marks with their place in ``used``."""
+    return f"""array_to_string(list_transform(list_zip(string_split_regex({text}, '\\[\\d+\\]'), regexp_extract_all({text}, '\\[\\d+\\]')), lambda z: z[1] || coalesce(case when list_position({used}, try_cast(regexp_extract(z[2], '\\[(\\d+)\\]', 1) as integer)) > 0 then '[' || list_position({used}, try_cast(regexp_extract(z[2], '\\[(\\d+)\\]', 1) as integer)) || ']' else z[2] end, '')), '')"""
+
+
+def cited_sql(text: str) -> str:
+    """CTEs ``g (id, answer, retrieved, used)`` over ``text`` of the records and ``base (bases)``."""
+    cited = f"list_filter(list_transform(regexp_extract_all(coalesce({text}, ''), '\\[(\\d+)\\]', 1), lambda x: try_cast(x as integer)), lambda x: x between 1 and coalesce(len(retrieved), 0))"
+    return f"""g as (select id, {text} as answer, retrieved, list_filter({cited}, lambda x, i: list_position({cited}, x) = i) as used from (select distinct id, answer, retrieved from generation_record)),
+base as (select map(list(code), list(base_url)) as bases from rag_source where code is not null and base_url is not null)"""
+
+
+def source_sql(s: str) -> tuple[str, str]:
+    """Name and address of a source struct."""
+    title = f"regexp_replace(coalesce({s}.title, ''), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
+    day = f"nullif(regexp_extract(coalesce({s}.external_id, ''), '{citations.SLUG_DATE}', 1), '')"
+    fine = f"({s}.source_code in {TITLED} and lower({title}) not in {citations.GENERIC_TITLES} and length({title}) <= {citations.LONGEST_TITLE})"
+    extras = f"concat_ws('; ', 'от ' || {day}, case when {fine} then {title} end)"
+    name = f"concat(coalesce(nullif({s}.source_code, ''), 'Источник'), case when {extras} <> '' then concat(' (', {extras}, ')') else '' end)"
+    return name, f"coalesce(nullif({s}.canonical_url, ''), nullif(bases[coalesce({s}.source_code, '')], ''))"
+
+
+_CITED_SQL = cited_sql("answer")
+_PLACES = "list_transform(used, lambda x, i: {'o': x, 'place': i})"
+_SOURCE = "{} as name, {} as url".format(*source_sql("retrieved[c.o]"))
+_RENUMBERED = _renumbered_sql("{t}", "used").replace("{t}", "answer")
+_LINK = f"concat('[', number, '] ', case when url is not null then concat('<a href=\"', {_ESC.format('url')}, '\">', {_ESC.format('name')}, '</a>') else {_ESC.format('name')} end)"
+
 SQL = {
     "eval_metrics_at_k": f'with {_M} select id, k, round("precision", 6) as "precision", hit, round(mrr, 6) as mrr, round(ndcg, 6) as ndcg, hard_negatives, first_hard_negative from m',
     "eval_by_method": f"with {_M} select method, dataset, k, {_MEANS} from m group by method, dataset, k",
@@ -340,9 +378,9 @@ select method, metric, count(ms) as n, round(avg(ms), 6) as mean, round(quantile
 from (select distinct id, method, retrieval_gold_summary as s, judge from generation_record) group by method""",
     "human_judge_merge": 'select distinct id, judge."precision".score as judge_score, nullif(human."precision", -1) as human_score from generation_record',
     "citation_metrics": f"with {_G} select id, cast(len(cited) > 0 as double) as presence, case when len(cited) > 0 then round(len(list_filter(cited, lambda x: x between 1 and n)) / len(cited), 6) else 0 end as validity, round(len(cited) * 1000.0 / greatest(length(coalesce(answer, '')), 1), 6) as density from g",
-    "source_lines": f"""with {_G}, u as (select id, retrieved, unnest({_USED}) as o, generate_subscripts({_USED}, 1) as number from g), s as (select id, number, retrieved[o] as s from u)
-select id, cast(number as integer) as number, concat('[', number, '] ', {_NAME}, case when s.canonical_url <> '' then ' — ' || s.canonical_url else '' end) as line,
- concat('[', number, '] ', case when s.canonical_url <> '' then concat('<a href="', {_ESC.format('s.canonical_url')}, '">', {_ESC.format(_NAME)}, '</a>') else {_ESC.format(_NAME)} end) as link from s""",
+    "source_lines": f"""with {_CITED_SQL}, u as (select id, c.o as o, c.place as number, {_SOURCE} from (select id, retrieved, unnest({_PLACES}) as c from g) join base on true)
+select id, cast(number as integer) as number, concat('[', number, '] ', name, coalesce(chr(10) || '   ' || url, '')) as line, {_LINK} as link from u""",
+    "citation_renumber": f"""with {_CITED_SQL} select id, array_to_string(list_transform({_PLACES}, lambda c: cast(c.o as varchar)), ',') as "order", {_RENUMBERED} as answer from g where answer is not null""",
     "history_window": """with r as (select distinct id, dataset, method, query, answer, generation_metadata.created_at as made from generation_record),
 t as (select id, cast(row_number() over w as integer) as turn, lag(id, 1) over w as id1, lag(query, 1) over w as q1, lag(answer, 1) over w as a1, lag(id, 2) over w as id2, lag(query, 2) over w as q2, lag(answer, 2) over w as a2 from r window w as (partition by dataset, method order by made nulls first, id))
 select id, turn, concat(case when id2 is not null then concat('user: ', q2, chr(10), 'assistant: ', a2, chr(10)) else '' end, case when id1 is not null then concat('user: ', q1, chr(10), 'assistant: ', a1) else '' end) as history from t""",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.operators import evaluate, reports
-from sievework.plans.evaluation import _M, _metrics, _ranked, _records
+from sievework.functions import citations
+from sievework.plans.evaluation import _ESC, _M, TITLED, _metrics, _ranked, _records, _renumbered_sql, cited_sql, source_catalogue_maps, source_sql
 
 
 def review_sheet(spark, sf):
@@ -23,8 +24,15 @@ def snippets(spark, sf):
     return r.select("id", F.col("i").alias("position"), reports.snippet(F.col("i") + 1, F.col("c"), 120).alias("snippet"))
 
 
-def final_answers(spark, sf):
-    return _records(spark, sf, "answer", "retrieved").filter("answer is not null").select("id", reports.final_answer(F.col("answer"), F.col("retrieved")).alias("answer"))
+def _final(html):
+    def query(spark, sf):
+        r = _records(spark, sf, "answer", "retrieved").filter("answer is not null").crossJoin(F.broadcast(source_catalogue_maps(spark, sf)))
+        return r.select("id", reports.final_answer(F.col("answer"), F.col("retrieved"), None, F.col("bases"), TITLED, html).alias("answer"))
+
+    return query
+
+
+final_answers, final_answers_html = _final(False), _final(True)
 
 
 def rewrite_rate(spark, sf):
@@ -47,9 +55,22 @@ def record_slice(spark, sf):
     return reports.record_slice(_records(spark, sf, "method"), 20, 30)
 
 
+_OWN = citations.OWN_SOURCES.replace("'", "''")
+_CUT = f"rtrim(regexp_replace(answer, '{_OWN}', ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(160))"
+
+
+def _final_sql(html: bool) -> str:
+    name, url = source_sql("retrieved[x]")
+    shown = (lambda x: _ESC.format(x)) if html else (lambda x: x)
+    line = f"concat('[', i, '] ', case when {url} is not null then concat('<a href=\"', {shown(url)}, '\">', {shown(name)}, '</a>') else {shown(name)} end)" if html else f"concat('[', i, '] ', {name}, coalesce(chr(10) || '   ' || {url}, ''))"
+    return f"""with {cited_sql(_CUT)} select id, case when len(used) = 0 then {shown('answer')} else concat(rtrim({shown(_renumbered_sql('answer', 'used'))}), chr(10), chr(10), 'Источники:', chr(10), array_to_string(list_transform(used, lambda x, i: {line}), chr(10))) end as answer
+from g, base where answer is not null"""
+
+
 _ABLATION = _M.replace("(values (1), (3), (5), (10))", "(values (4), (6), (8), (12))")
 
 SQL = {
+    "final_answers": _final_sql(False), "final_answers_html": _final_sql(True),
     "score_overlay": 'select distinct id, coalesce(judge."precision".score, human."precision") as "precision" from generation_record',
     "snippets": """with r as (select id, unnest(retrieved) as c, generate_subscripts(retrieved, 1) - 1 as i from (select distinct id, retrieved from generation_record)),
 t as (select id, i, c, replace(regexp_replace(coalesce(c.text, ''), '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g'), chr(10), ' ') as x from r)
@@ -62,4 +83,4 @@ select method, k, metric, value from g unpivot (value for metric in ("precision"
     "record_slice": "select distinct id, method from generation_record order by id limit 30 offset 20",
 }
 
-QUERIES = {f.__name__: f for f in (review_sheet, score_overlay, snippets, final_answers, rewrite_rate, topk_ablation, eval_matrix, record_slice)}
+QUERIES = {f.__name__: f for f in (review_sheet, score_overlay, snippets, rewrite_rate, topk_ablation, eval_matrix, record_slice)} | {"final_answers": final_answers, "final_answers_html": final_answers_html}

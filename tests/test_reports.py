@@ -2,18 +2,23 @@ from pyspark.sql import functions as F
 
 from sievework.operators import reports
 
-SOURCES = "array<struct<title: string, canonical_url: string>>"
+SOURCES = "array<struct<source_code: string, external_id: string, title: string, canonical_url: string>>"
 
 
-def final(spark, answer, sources):
+def final(spark, answer, sources, **more):
     row = spark.createDataFrame([(answer, sources)], f"a string, s {SOURCES}")
-    return row.select(reports.final_answer(F.col("a"), F.col("s"))).first()[0]
+    return row.select(reports.final_answer(F.col("a"), F.col("s"), F.create_map(F.lit("m"), F.lit("Письмо <М>")), F.create_map(F.lit("k"), F.lit("http://k/?a&b")), ("k",), **more)).first()[0]
 
 
 def test_final_answer(spark):
-    got = final(spark, "Да [2], нет [7].\n\nИсточники:\n[2] что-то", [("A", "u"), ("B", None)])
-    assert got == "Да [1], нет.\n\nИсточники:\n[1] B"
+    sources = [("m", "x_ot_01.02.2024_7", "T", "u"), ("k", "9", "День уплаты", None), ("k", "9", "Минфин", ""), (None, None, None, None)]
+    got = final(spark, "Да [2], нет [7] и [1].\n\nИсточники:\n[2] что-то", sources)
+    assert got == "Да [1], нет [7] и [2].\n\nИсточники:\n[1] k (День уплаты)\n   http://k/?a&b\n[2] Письмо <М> (от 01.02.2024)\n   u"
+    assert final(spark, "A < B [1][3][4]", sources, html=True) == 'A &lt; B [1][2][3]\n\nИсточники:\n[1] <a href="u">Письмо &lt;М&gt; (от 01.02.2024)</a>\n[2] <a href="http://k/?a&amp;b">k</a>\n[3] Источник'
     assert final(spark, "Без ссылок", []) == "Без ссылок" and final(spark, None, None) is None
+    for heading in ("## Источники", "**Источники**", "1. Источники", "Источник:", "- источники использованные"[:11] + ":"):
+        assert final(spark, f"Да.\n{heading}\n[1] x", sources) == "Да.", heading
+    assert final(spark, "Да.\nИсточник дохода не важен.", sources) == "Да.\nИсточник дохода не важен."
 
 
 def test_review_preview(spark):
