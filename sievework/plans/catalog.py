@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "texts", "evaluation", "registry", "reports")
+MODULES = ("retrieval", "texts", "evaluation", "registry", "reports", "pipeline")
 
 
 def _all(name: str) -> dict:

@@ -76,7 +76,7 @@ match_strict, match_doc, match_doc_overlap, match_hybrid = map(_matched, evaluat
 
 def _contexts(order):
     def query(spark, sf):
-        return evaluate.context(_ranked(spark, sf).withColumnRenamed("id", "query_id"), order, 150, 400)
+        return evaluate.context(_ranked(spark, sf).withColumnRenamed("id", "query_id"), order)
 
     return query
 
@@ -286,9 +286,9 @@ def _match(cond: str) -> str:
 def _context(thirds: bool) -> str:
     part = "case when n < 3 or third = 1 then 1 when third = 2 then 3 else 2 end" if thirds else "1"
     return f"""with {_R}, o as (select id as query_id, rank, trim(coalesce(text, '')) as text, ntile(3) over (partition by id order by rank) as third, count(*) over (partition by id) as n from r),
-c as (select query_id, rank, {part} as part, case when length(text) > 150 then rtrim(left(text, 150)) || '…' else text end as text from o where text <> ''),
+c as (select query_id, rank, {part} as part, case when length(text) > 2500 then rtrim(left(text, 2500)) || '…' else text end as text from o where text <> ''),
 s as (select *, row_number() over w as number, sum(length(text) + 7) over (partition by query_id order by part, rank rows unbounded preceding) - 7 as total from c window w as (partition by query_id order by part, rank))
-select query_id, cast(number as integer) as number, rank, text from s where total <= 400"""
+select query_id, cast(number as integer) as number, rank, text from s where total <= 12000"""
 
 
 _LABELS = """lab as (select id, unnest(f) as c, generate_subscripts(f, 1) as rank, gold, hard from (select id, gold, hard, list_concat(gold, hard) as f from
