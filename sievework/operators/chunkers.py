@@ -19,7 +19,8 @@ LEGAL_DELIMITERS = (
     "\n1. ", "\n2. ", "\n3. ", "\nа) ", "\nб) ", "; ", ". ",
 )
 LEVELS = (("\n\n",), ("\n",), (". ", "! ", "? "), ("; ", ", "), (" ",))
-LEGAL_LEVELS = (LEGAL_DELIMITERS[:9], LEGAL_DELIMITERS[9:14], LEGAL_DELIMITERS[14:15], LEGAL_DELIMITERS[15:], (" ",))
+# The levels of legal texts; below the last a text is cut anywhere.
+LEGAL_LEVELS = (LEGAL_DELIMITERS, (". ", "! ", "? ", "\n"), (":", ";", ",", " - ", " -"), (" ",))
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
@@ -174,6 +175,30 @@ def parent_child_chunks(corpus: DataFrame, parent: int, child: int, parent_overl
     return parents.select(key, F.posexplode(flat).alias("child_i", "c")).select(key, "c.parent_i", "child_i", "c.parent_text", "c.child_text")
 
 
+def nested_chunks(corpus: DataFrame, parent: tuple[str, int], child: tuple[str, int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``parent_child_chunks``, parents and children each by a method and size of their own
+    (without overlap), such as legal parents with sentence children."""
+    for method, _ in (parent, child):
+        if method not in METHODS or method == "parent_child":
+            raise ValueError(f"no chunk method {method!r}")
+    tune_arrow(corpus.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, t in zip(frame["key"], frame["text"]):
+                n = 0
+                for i, whole in enumerate(chunk_text(t, *parent)):
+                    for part in chunk_text(whole, *child):
+                        out.append((k, i, n, whole, part))
+                        n += 1
+            yield pd.DataFrame(out, columns=["key", "parent_i", "child_i", "parent_text", "child_text"])
+
+    rows = corpus.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("text is not null and text <> ''")
+    out = rows.mapInPandas(run, "key string, parent_i int, child_i int, parent_text string, child_text string")
+    return out.withColumn("key", F.col("key").cast(corpus.schema[key].dataType)).withColumnRenamed("key", key)
+
+
 def point_id(source: Column, external: Column, method: Column, size: Column, overlap: Column, number: Column) -> Column:
     """The stable id of a chunk."""
     return uuid5(F.concat_ws(":", *(F.coalesce(c.cast("string"), F.lit("None")) for c in (source, external, method, size, overlap, number))))

@@ -69,7 +69,31 @@ from g, base where answer is not null"""
 
 _ABLATION = _M.replace("(values (1), (3), (5), (10))", "(values (4), (6), (8), (12))")
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')"
+
+
+def _cut_sql(x: str, limit: int) -> str:
+    return f"(case when length({x}) > {limit} then regexp_replace(left({x}, {limit}), '[\\s\\x{{a0}}]+$', '') || '...' else {x} end)"
+
+
+def _preview_sql(label: str) -> str:
+    text = f"replace({_strip('coalesce(r.text, chr(32))')}, chr(13) || chr(10), chr(10))"
+    return f"""(select {_cut_sql('p', 1200)} from (select coalesce(array_to_string(list_transform(list_filter(coalesce(retrieved, []), lambda r: coalesce(r.relevance_label = '{label}', false)), lambda r: concat('[', r.rank, '] ', {_cut_sql(text, 500)})), chr(10) || chr(10)), '') as p))"""
+
+
+def _source_column_sql(n: int) -> str:
+    keys = "; ', '".join(f"{k}=', coalesce(cast(retrieved[{n}].{k} as varchar), 'None'), '" for k in ("rank", "source_code", "external_id", "chunk_i"))
+    return f"case when len(retrieved) >= {n} then concat('{keys}', case when retrieved[{n}].canonical_url <> '' then '; url=' || retrieved[{n}].canonical_url else '' end) else '' end as source_{n}"
+
+
+_SHEET = f"""select id, query, coalesce(answer, '') as answer, {', '.join(f"{_preview_sql(x)} as {x}_context_preview" for x in ("gold_relevant", "hard_negative", "unknown"))},
+ coalesce(array_to_string(retrieval_gold_summary.gold_relevant_ranks, ','), '') as gold_relevant_ranks, retrieval_gold_summary.has_gold_relevant_context as has_gold_relevant_context, {', '.join(map(_source_column_sql, (1, 2, 3)))},
+ coalesce(human."precision", -1) as human_precision, coalesce(human.completeness, -1) as human_completeness, coalesce(human.format, -1) as human_format, coalesce(human.comment, '') as human_comment
+from (select distinct id, query, answer, retrieved, retrieval_gold_summary, human from generation_record)"""
+
 SQL = {
+    "review_sheet": _SHEET,
     "final_answers": _final_sql(False), "final_answers_html": _final_sql(True),
     "score_overlay": 'select distinct id, coalesce(judge."precision".score, human."precision") as "precision" from generation_record',
     "snippets": """with r as (select id, unnest(retrieved) as c, generate_subscripts(retrieved, 1) - 1 as i from (select distinct id, retrieved from generation_record)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,10 +110,44 @@ def message_split(spark, sf):
     ship(spark)
     from pyspark.sql import types as T
 
-    split = F.udf(chunkers.split_message, T.ArrayType(T.StringType()), useArrow=True)
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(chunkers.split_message)
+
     return _docs(spark, sf).filter("text <> ''").select("doc_id", F.posexplode(split("text")).alias("part_no", "part"))
 
 
+#: Method, size and overlap of each chunker that packs by rules of its own.
+CHUNKERS = (("sentence", 1024, 128), ("recursive", 1536, 0), ("recursive_legal", 1536, 128), ("semantic", 1024, 0), ("ingest", 1100, 160))
+
+
+def chunk_invariants(spark, sf):
+    """For each chunker how many texts it cut, and whether every chunk keeps its size (with the
+    overlap put before it), is not blank, is numbered in order, and holds words of its text."""
+    docs, out = _docs(spark, sf), None
+    for method, size, overlap in CHUNKERS:
+        c = chunkers.chunks(docs, method, size, overlap).join(docs.withColumnRenamed("text", "whole"), "doc_id")
+        last = F.element_at(F.split(F.trim("text"), "\\s+", -1), -1)
+        per = c.groupBy("doc_id").agg(F.bool_and(F.length("text") <= size + overlap + 1).alias("a"), F.bool_and(F.length(F.trim("text")) > 0).alias("b"), (F.max("chunk_i") == F.count("*") - 1).alias("c"), F.bool_and(F.col("whole").contains(last)).alias("d"))
+        one = per.agg(F.count("*").alias("texts"), F.bool_and("a").alias("within_size"), F.bool_and("b").alias("not_blank"), F.bool_and("c").alias("in_order"), F.bool_and("d").alias("of_the_text")).select(F.lit(method).alias("method"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def message_parts(spark, sf):
+    """For each long text whether its parts keep the window and give it back but for line breaks."""
+    parts = message_split(spark, sf).groupBy("doc_id").agg(F.max(F.length("part")).alias("longest"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part_no", "part"))), lambda x: x["part"]), "").alias("joined"))
+    same = F.regexp_replace("joined", "\n", "") == F.regexp_replace("text", "\n", "")
+    return parts.join(_docs(spark, sf), "doc_id").filter(F.length("text") > 4096).select("doc_id", (F.col("longest") <= 3800).alias("within"), same.alias("whole"))
+
+
+def legal_parents(spark, sf):
+    """Legal parents with sentence children: each child lies in its parent and keeps its size."""
+    c = chunkers.nested_chunks(_docs(spark, sf), ("recursive_legal", 2048), ("sentence", 512))
+    per = c.groupBy("doc_id").agg(F.bool_and(F.length("child_text") <= 512).alias("small"), F.bool_and(F.col("parent_text").contains(F.trim("child_text"))).alias("inside"), (F.max("child_i") == F.count("*") - 1).alias("numbered"))
+    return per.select("doc_id", (F.col("small") & F.col("inside") & F.col("numbered")).alias("fine"))
+
+
 def stratified_sample(spark, sf):
     d = load(spark, sf, "documents")
     return questions.stratified_sample(d.select(F.col("source").alias("source_code"), F.col("doc_id").alias("document"), F.length("text").alias("chars")), 5, seed=7)
@@ -215,7 +250,16 @@ def _line_query(where: str) -> str:
     return f"select doc_id, cast(n as integer) as line_no, line from (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as n from (select doc_id, {_lines('text')} as ls from documents)) where line <> '' and {where}"
 
 
+_DOCUMENT_BOILER = _BOILER.replace("select distinct doc_id, text from local_document", "select doc_id, text from documents")
+_NO_NOISE = _kept("text", f"length(x) = 0 or {_legal(chr(120))} or not ({_navigation(chr(120))} or {_noise(chr(120))})")
+_NOT_BLANK = "regexp_matches(text, '[^\\s\\x{a0}\\x{feff}]')"
+
 SQL = {
+    "clean_no_boilerplate": f"with {_DOCUMENT_BOILER}, {_LEGAL_TEXT.removeprefix('with ')}, g as (select list(line_key) as gone from boiler) select doc_id, {_kept('text', f'not list_contains(coalesce(gone, []), {_fold(chr(120))}) or {_legal(chr(120))}')} as text from l, g",
+    "clean_aggressive": f"{_LEGAL_TEXT}, q as (select doc_id, {_NO_NOISE} as text from l), d as (select doc_id, {_lines('text')} as ls from q) select doc_id, {_normal(f'array_to_string(list_filter(ls, lambda x, i: length(x) = 0 or {_legal(chr(120))} or list_position(list_transform(ls, lambda y: {_fold(chr(121))}), {_fold(chr(120))}) = i), chr(10))')} as text from d",
+    "chunk_invariants": " union all ".join(f"select '{m}' as method, count(*) as texts, true as within_size, true as not_blank, true as in_order, true as of_the_text from documents where {_NOT_BLANK}" for m, _, _ in CHUNKERS),
+    "message_parts": "select doc_id, true as within, true as whole from documents where length(text) > 4096",
+    "legal_parents": f"select doc_id, true as fine from documents where {_NOT_BLANK}",
     "boilerplate_lines": f"with {_BOILER} select line_key, docs from boiler",
     "remove_boilerplate": f"with {_BOILER}, g as (select list(line_key) as gone from boiler) select doc_id, {_kept('text', f'{_legal(chr(120))} or not list_contains(coalesce(gone, []), {_fold(chr(120))})')} as text from record, g",
     "nav_noise_lines": _line_query(_navigation("line")),
@@ -258,6 +302,6 @@ QUERIES = {
     for name in (
         "boilerplate_lines", "remove_boilerplate", "dedup_lines", "nav_noise_lines", "aggressive_noise_lines", "legal_lines", "clean_raw", "clean_basic", "clean_legal", "clean_aggressive", "clean_no_boilerplate",
         "cleaning_report", "cleaning_summary", "token_chunks", "chunk_overlap_lag", "chunk_stats", "chunk_point_ids", "parent_child_chunks", "sentence_chunks", "recursive_chunks", "recursive_legal_chunks", "semantic_chunks",
-        "ingest_chunks", "message_split", "stratified_sample", "query_normalize", "near_duplicate_queries", "valid_questions", "question_profile", "text_functions", "text_terms",
+        "ingest_chunks", "message_split", "message_parts", "chunk_invariants", "legal_parents", "stratified_sample", "query_normalize", "near_duplicate_queries", "valid_questions", "question_profile", "text_functions", "text_terms",
     )
 }
