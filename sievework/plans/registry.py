@@ -169,6 +169,22 @@ def stream_event_windows(spark, sf):
     return table.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
+def stream_registry(spark, sf):
+    """The registry after the fetch log has passed through as a stream."""
+    r = load(spark, sf, "rag_doc")
+    points = lambda changed: changed.select(F.concat_ws(":", "doc_id", "sha").alias("point_id"), "doc_id")
+    refresh = streams.RegistryRefresh(spark, r, points, "point_id string, doc_id bigint", _now())
+    refresh.run(streams.table_stream(spark, sf, "rag_fetch_log")).awaitTermination()
+    made = refresh.points.read().select(F.col("doc_id").alias("id"), "point_id")
+    return refresh.rows.read().join(made, "id", "left").select("id", "content_sha256", "qdrant_revision", "error_count", "point_id")
+
+
+def stream_document_state(spark, sf):
+    """Last hash, changes and failures in a row of each document, by keyed state."""
+    stream = streams.document_state(streams.table_stream(spark, sf, "rag_fetch_log"))
+    return streams.run_to_end(stream, "document-state", "update")
+
+
 def stream_refresh(spark, sf):
     refresh = streams.Refresh(spark)
     refresh.run(streams.table_stream(spark, sf, "rag_fetch_log")).awaitTermination()
@@ -213,6 +229,14 @@ select id, bucket, round(cast(value as double) / sqrt(sum(cast(value as double)
     "experiment_tail": f"with {_RUNS} select id, status from runs order by coalesce(made, timestamptz '1970-01-01 00:00:00+00') desc, id desc limit 50",
     "experiment_markdown": f"with {_RUNS} select dataset, method, concat('| ', dataset, ' | ', method, ' | ', format('{{:.4f}}', avg(p)), ' | ', count(*), ' |') as line from runs where status = 'ok' group by dataset, method",
     "stream_event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
+    "stream_registry": f"""with {_FETCHED}, {_STATUS}, c as (select f.doc_id, f.body_sha256, st.status in ('INGESTED', 'UPDATED') as changed from f join st on st.doc_id = f.doc_id)
+select d.id, case when c.changed then c.body_sha256 else d.content_sha256 end as content_sha256, case when c.changed then coalesce(d.qdrant_revision, 0) + 1 else d.qdrant_revision end as qdrant_revision,
+ case when c.doc_id is not null then 0 else d.error_count end as error_count, case when c.changed then concat_ws(':', c.doc_id, c.body_sha256) end as point_id from rag_doc d left join c on c.doc_id = d.id""",
+    "stream_document_state": """with f as (select *, coalesce(status_code in (200, 304), false) as ok, status_code = 200 and body_sha256 is not null as whole from rag_fetch_log where doc_id is not null),
+h as (select doc_id, body_sha256, lag(body_sha256) over (partition by doc_id order by fetched_at, id) as before, row_number() over (partition by doc_id order by fetched_at desc, id desc) as back from f where whole),
+r as (select doc_id, count_if(before is distinct from body_sha256) as revisions, max(case when back = 1 then body_sha256 end) as body_sha256 from h group by doc_id),
+l as (select doc_id, max(case when ok then (fetched_at, id) end) as last from f group by doc_id)
+select l.doc_id, r.body_sha256, coalesce(r.revisions, 0) as revisions, count_if(not f.ok and (l.last is null or (f.fetched_at, f.id) > l.last)) as errors from l join f using (doc_id) left join r using (doc_id) group by all""",
     "stream_refresh": "select doc_id, body_sha256 from rag_fetch_log where doc_id is not null and body_sha256 is not null qualify row_number() over (partition by doc_id order by fetched_at desc, id desc) = 1",
 }
 
