@@ -240,3 +240,78 @@ def test_embedder_ranks_the_nearer_text_first(spark):
     a, b, c = run(["срок уплаты налога", "налога срок новый", "погода летом"])
     dot = lambda x, y: sum(i * j for i, j in zip(x, y))
     assert dot(a, b) > dot(a, c)
+
+
+def test_failing_prompts_cost_no_other(spark):
+    rows = spark.createDataFrame([("a",), ("bad",), ("c",)], "q string").coalesce(1)
+
+    def chat(prompts):
+        if "bad" in prompts:
+            raise RuntimeError("no")
+        return [p.upper() for p in prompts]
+
+    got = {r.q: (r.answer, r.answer_error) for r in models.chatted(rows, "q", chat).collect()}
+    assert got == {"a": ("A", None), "bad": (None, "RuntimeError: no"), "c": ("C", None)}
+
+
+def test_models_are_built_once_for_a_worker(spark):
+    state = {"n": 0}
+
+    def counted():
+        state["n"] += 1
+        return lambda queries, texts: [float(state["n"])] * len(queries)
+
+    rows = spark.range(50).selectExpr("cast(id as string) as q", "'t' as t").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    models.RERANKERS["counted"] = counted
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")  # five batches
+        assert {r.score_rerank for r in models.reranked(rows, "q", "t", "counted").collect()} == {1.0}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        del models.RERANKERS["counted"]
+
+
+def test_model_helpers():
+    import numpy as np
+
+    assert models.restored_order([(2, 0.5), (0, 0.1), (1, 0.3)], 3) == [0.1, 0.3, 0.5]
+    for bad in ([(0, 1.0)], [(0, 1.0), (0, 2.0)], [(0, 1.0), (5, 2.0)]):
+        with pytest.raises(ValueError):
+            models.restored_order(bad, 2)
+    pooled = models.mean_pooled(np.array([[[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]]]), np.array([[1, 1, 0]]))
+    assert np.allclose(pooled, [[0.6, 0.8]])
+
+    def broken():
+        raise RuntimeError
+
+    assert models.with_fallback(broken, models.EMBEDDERS["hashing"])()(["налог"])[0]
+
+
+def test_generation_and_what_is_left_to_judge(spark):
+    r = spark.createDataFrame([("1", "Q", "C")], "id string, query string, context string")
+    out = models.generated(r, lambda ps: list(ps), "strict_citations").first()
+    assert out.answer == "Cite every claim as [n].\n\nC\n\nQ" and out.prompt_variant == "strict_citations"
+    j = spark.createDataFrame([("1", (("ok",), (None,))), ("2", None), ("3", (("ok_salvaged",), ("parse_failed",)))], "id string, judge struct<a: struct<status: string>, b: struct<status: string>>")
+    left = lambda **k: sorted(tuple(x) for x in models.to_judge(j, ("a", "b"), **k).collect())
+    assert left() == [("1", "b"), ("2", "a"), ("2", "b"), ("3", "b")] and len(left(force=True)) == 6
+    t = spark.createDataFrame([("«Кто платит?»",), (' "x" ',)], "t string")
+    assert [x[0] for x in t.select(models.unquoted(F.col("t"))).collect()] == ["Кто платит?", "x"]
+    assert t.limit(1).select(models.required(F.col("t"), 3)).count() == 1
+    with pytest.raises(Exception, match="too short"):
+        t.select(models.required(F.col("t"), 100)).collect()
+
+
+def test_reindex_replaces_documents(spark, tmp_path):
+    from sievework.operators import matrices
+
+    docs = spark.createDataFrame([(1, "s", "Срок уплаты налога. " * 100), (2, "s", "Налог на имущество."), (3, None, None)], "doc_id bigint, source string, text string")
+    path = f"file://{tmp_path}/points"
+    matrices.reindex(docs, None, path, 64)
+    first = spark.read.parquet(path)
+    assert {r.doc_id for r in first.collect()} == {1, 2} and first.filter("doc_id = 1").count() == 3
+    matrices.reindex(docs.filter("doc_id = 1").withColumn("text", F.lit("Иной текст налога.")), spark.read.parquet(path), path, 64)
+    again = {(r.doc_id, r.text) for r in spark.read.parquet(path).collect()}
+    assert again == {(1, "Иной текст налога."), (2, "Налог на имущество.")}
+    with pytest.raises(Exception, match="vector size"):
+        matrices.reindex(docs, None, path, 128)
