@@ -124,3 +124,25 @@ def candidate_labels(raw: Column) -> Column:
     listed = F.from_json(json_object(raw), "labels array<struct<point_id string, label string>>")["labels"]
     good = F.filter(listed, lambda x: F.coalesce(x["point_id"] != "", F.lit(False)) & x["label"].isin("relevant", "hard_negative", "irrelevant"))
     return F.map_from_entries(F.transform(good, lambda x: F.struct(x["point_id"], x["label"])))
+
+
+def rates(records: DataFrame, flags: dict[str, tuple[str, bool]], *groups: str) -> DataFrame:
+    """For each name the share of records whose flag is set; ``flags``: name to column and
+    whether it counts negated.  A missing flag is left out; without any the rate is null."""
+    share = lambda column, negated: F.round(F.avg((~F.col(column) if negated else F.col(column)).cast("int")), 6)
+    return records.groupBy(*groups).agg(F.count("*").alias("records"), *(share(c, n).alias(name) for name, (c, n) in flags.items()))
+
+
+# What a judge's flags are reported as, and which count negated.
+RATES = {
+    "should_abstain_rate": ("should_abstain", False), "did_abstain_rate": ("did_abstain", False), "abstention_alignment_rate": ("abstention_aligned", False), "used_gold_relevant_context_rate": ("used_gold_relevant_context", False),
+    "used_hard_negative_as_support_rate": ("used_hard_negative_as_support", False), "missed_gold_relevant_information_rate": ("missed_gold_relevant_information", False), "unreadable_rate": ("is_readable", True),
+    "broken_encoding_rate": ("has_broken_encoding", False), "raw_html_rate": ("has_raw_html", False), "unwanted_markdown_or_latex_rate": ("has_unwanted_markdown_or_latex", False),
+    "rude_or_unprofessional_rate": ("is_rude_or_unprofessional", False), "missing_required_structure_rate": ("has_required_structure", True),
+}
+
+
+def judge_rates(judged: DataFrame, *groups: str) -> DataFrame:
+    """The rates of RATES over flat flags; two abstentions agree where both are known."""
+    aligned = judged.withColumn("abstention_aligned", F.col("should_abstain") == F.col("did_abstain"))
+    return rates(aligned, RATES, *groups)

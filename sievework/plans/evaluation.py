@@ -60,6 +60,27 @@ def judge_latency(spark, sf):
     return evaluate.latency_percentiles(rows.filter("ms is not null"), "ms", "method", "metric")
 
 
+def eval_rollup(spark, sf):
+    """By method in one row: retrieval at 5, hard negatives, citations, and the judge's latency."""
+    m = _metrics(spark, sf).filter("k = 5")
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    found = m.groupBy("method").agg(F.count("*").alias("queries"), *(mean(c) for c in ("precision", "hit", "mrr", "ndcg")), F.round(F.avg("any_hard_negative"), 6).alias("hard_negative_rate"), F.round(F.avg("hard_negatives"), 6).alias("hard_negatives"))
+    a, n = F.col("answer"), F.size(F.coalesce("retrieved", F.array()))
+    cited = _records(spark, sf, "method", "answer", "retrieved").select("method", citations.present(a).alias("presence"), citations.valid_share(a, n).alias("validity"), citations.density(a).alias("density"))
+    marks = cited.groupBy("method").agg(*(mean(c) for c in ("presence", "validity", "density")))
+    j = _records(spark, sf, "method", "judge").select("method", F.col("judge.precision.latency_ms").alias("ms"))
+    slow = evaluate.latency_percentiles(j.filter("ms is not null"), "ms", "method").select("method", F.col("mean").alias("latency_mean"), F.col("p50").alias("latency_p50"), F.col("p95").alias("latency_p95"))
+    return found.join(marks, "method", "left").join(slow, "method", "left")
+
+
+def retrieved_sample(spark, sf):
+    """Of each method the first 200 retrieved items by question and rank: lengths and parents."""
+    order = Window.partitionBy("method").orderBy("id", "rank")
+    first = _ranked(spark, sf).withColumn("n", F.row_number().over(order)).filter("n <= 200").withColumn("parent", F.nullif("parent_id", F.lit("")))
+    kinds, all_ = F.count_distinct("parent"), F.count("parent")
+    return first.groupBy("method").agg(F.count("*").alias("items"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"), kinds.alias("parents"), F.round(F.when(all_ > 0, 1 - kinds / all_).otherwise(0.0), 6).alias("duplicate_parent_rate"))
+
+
 def _matched(mode):
     def query(spark, sf):
         e = load(spark, sf, "eval_record")
@@ -374,6 +395,14 @@ select method, metric, count(ms) as n, round(avg(ms), 6) as mean, round(quantile
     "judge_agreement_by_method": f"with {_kappa('method, metric')} select method, metric, n, exact, within_1, mae, kappa, kappa_linear, kappa_quadratic from a",
     "judge_macro": f"with {_kappa('metric')} select round(avg(exact), 6) as exact, round(avg(within_1), 6) as within_1, round(avg(mae), 6) as mae, round(avg(kappa), 6) as kappa, round(avg(kappa_linear), 6) as kappa_linear, round(avg(kappa_quadratic), 6) as kappa_quadratic from a",
     "judge_averages": f"with {_P} select metric, count(*) as records, count_if(human between 1 and 5) as human_labelled, round(avg(case when human between 1 and 5 then human end), 6) as human_mean, count_if(judge between 1 and 5) as judged, round(avg(case when judge between 1 and 5 then judge end), 6) as judge_mean from p group by metric",
+    "eval_rollup": f"""with {_M}, {_G}, f as (select method, count(*) as queries, round(avg("precision"), 6) as "precision", round(avg(hit), 6) as hit, round(avg(mrr), 6) as mrr, round(avg(ndcg), 6) as ndcg, round(avg(any_hard_negative), 6) as hard_negative_rate, round(avg(hard_negatives), 6) as hard_negatives from m where k = 5 group by method),
+c as (select method, round(avg(cast(len(cited) > 0 as double)), 6) as presence, round(avg(case when len(cited) > 0 then len(list_filter(cited, lambda x: x between 1 and n)) / len(cited) else 0 end), 6) as validity, round(avg(len(cited) * 1000.0 / greatest(length(coalesce(answer, '')), 1)), 6) as density
+  from g join (select distinct id, method from generation_record) using (id) group by method),
+j as (select method, judge."precision".latency_ms as ms from (select distinct id, method, judge from generation_record)),
+l as (select method, round(avg(ms), 6) as latency_mean, round(quantile_cont(ms, 0.5), 6) as latency_p50, round(quantile_cont(ms, 0.95), 6) as latency_p95 from j where ms is not null group by method)
+select * from f left join c using (method) left join l using (method)""",
+    "retrieved_sample": f"""with {_R}, s as (select *, nullif(parent_id, '') as parent from r qualify row_number() over (partition by method order by id, rank) <= 200)
+select method, count(*) as items, round(avg(length(text)), 6) as mean_chars, count(distinct parent) as parents, round(case when count(parent) > 0 then 1 - count(distinct parent) / count(parent) else 0 end, 6) as duplicate_parent_rate from s group by method""",
     "judge_rates": """select method, round(avg(cast(s.has_gold_relevant_context as integer)), 6) as with_gold, round(avg(s.gold_relevant_retrieved_count), 6) as gold, round(avg(s.hard_negative_retrieved_count), 6) as hard, round(avg(s.unknown_retrieved_count), 6) as unknown, round(avg(cast(judge."precision".status = 'ok' as integer)), 6) as judged_ok
 from (select distinct id, method, retrieval_gold_summary as s, judge from generation_record) group by method""",
     "human_judge_merge": 'select distinct id, judge."precision".score as judge_score, nullif(human."precision", -1) as human_score from generation_record',
@@ -395,7 +424,7 @@ select id, turn, concat(case when id2 is not null then concat('user: ', q2, chr(
 QUERIES = {
     name: globals()[name]
     for name in (
-        "eval_metrics_at_k", "eval_by_method", "eval_overall", "eval_per_source", "eval_hard_negatives", "eval_latency_percentiles", "judge_latency", "match_strict", "match_doc", "match_doc_overlap", "match_hybrid", "context_budget", "context_thirds",
+        "eval_metrics_at_k", "eval_by_method", "eval_overall", "eval_per_source", "eval_hard_negatives", "eval_latency_percentiles", "judge_latency", "eval_rollup", "retrieved_sample", "match_strict", "match_doc", "match_doc_overlap", "match_hybrid", "context_budget", "context_thirds",
         "label_retrieved", "eval_gold_summary", "retrieval_gold_summary", "fallback_labels", "eval_record_caps", "judge_agreement", "judge_agreement_by_method", "judge_macro", "judge_averages", "judge_rates", "human_judge_merge",
         "citation_metrics", "citation_renumber", "source_lines", "history_window", "agent_global_numbering", "agent_union_hit", "retrieved_lengths", "judge_parse", "agent_actions",
     )

@@ -315,3 +315,10 @@ def test_reindex_replaces_documents(spark, tmp_path):
     assert again == {(1, "Иной текст налога."), (2, "Налог на имущество.")}
     with pytest.raises(Exception, match="vector size"):
         matrices.reindex(docs, None, path, 128)
+
+
+def test_judge_rates(spark):
+    flags = ["should_abstain", "did_abstain", *sorted({c for c, _ in judging.RATES.values()} - {"should_abstain", "did_abstain", "abstention_aligned"})]
+    rows = [[True, True, *[True] * (len(flags) - 2)], [True, False, *[False] * (len(flags) - 2)], [None] * len(flags)]
+    r = judging.judge_rates(spark.createDataFrame(rows, ", ".join(f"{f} boolean" for f in flags))).first()
+    assert (r.records, r.should_abstain_rate, r.did_abstain_rate, r.abstention_alignment_rate, r.unreadable_rate, r.raw_html_rate) == (3, 1.0, 0.5, 0.5, 0.5, 0.5)
