@@ -224,6 +224,16 @@ def test_questions(spark):
     assert {r.id: r.kept for r in questions.greedy_distinct(q).collect()} == {"1": True, "2": False, "3": True}
 
 
+def test_questions_in_blocks(spark, monkeypatch):
+    words = "какая ставка налога на хлеб соль сахар дом землю доход срок уплаты взноса льгота".split()
+    rng = np.random.default_rng(3)
+    q = spark.createDataFrame([(f"{i:03d}", " ".join(rng.choice(words, 5)) + "?") for i in range(60)] + [("zz", "какая ставка налога на хлеб?")], "id string, query string")
+    whole = sorted(tuple(r) for r in questions.greedy_distinct(q, 0.7).collect())
+    monkeypatch.setattr(questions, "BLOCK", 11)
+    assert sorted(tuple(r) for r in questions.greedy_distinct(q, 0.7).collect()) == whole
+    assert any(not r[1] for r in whole)
+
+
 def test_models(spark):
     rows = spark.createDataFrame([("налог на хлеб", "налог"), ("пени", "штраф"), (None, None)], "q string, t string")
     v = [r.vector for r in models.embedded(rows, "q", "hashing").collect()]
