@@ -607,7 +607,8 @@ def read_words(piece: str, pages: tuple[str, ...], mapping: dict[str, str] | Non
         table = {ord(k): v for k, v in mapping.items()}
         both = [(w, w.translate(table)) for w in words]
     elif mapping is None or not differing(piece, mapping, pages):
-        both = [(w, undo(w, pages)) for w in words]
+        plain = _TOKEN.findall(undo(piece, pages))  # at once: white space stays where it is
+        both = list(zip(words, plain)) if len(plain) == len(words) else [(w, undo(w, pages)) for w in words]
     else:
         both = [(w, "".join(_learnt(u, undone(u, pages), mapping) for u in units(w, pages))) for w in words]
     return [(w, plain) for w, plain in both if plain != w]
