@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,29 @@ def test_a_broken_swap_leaves_a_table(spark, tmp_path):
     assert restored_table(spark, path).count() == 2
     (tmp_path / "t").rename(tmp_path / "t.old")  # broken off after the old table was renamed away
     assert restored_table(spark, path).count() == 2
+
+
+def test_tables_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from sievework import durable as d
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert d.shared_root(session("spark://h:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert d.shared_root(session("local[8]", None)).startswith("file://")
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            d.shared_root(session(master, None))
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    from sievework import durable as d
+
+    since = d.mark()
+    table = d.durable(spark.range(3), "dropped")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert table.count() == 3 and os.path.exists(path)
+    d.drop_tables(spark, since)
+    assert not os.path.exists(path)
