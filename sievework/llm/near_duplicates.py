@@ -287,7 +287,10 @@ def similar_links(records: DataFrame, words: int, threshold: float, exclude: Dat
     ids = durable(ids, "ids")
     reps = ids.groupBy("class_key").agg(F.min("doc_id").alias("rep"))
     classes = durable(ids.join(reps, "class_key").select("doc_id", "class_key", "rep"), "classes")
-    own = sketches.join(hinted(classes.filter("doc_id = rep").select("doc_id", "class_key")), ["doc_id", "class_key"], "left_semi")
+    # Most records are the first of their class: the others are fewer to send, or to join by key.
+    first = classes.filter("doc_id = rep").select("doc_id", "class_key")
+    others = durable(sketches.select("doc_id", "class_key").distinct().join(first, ["doc_id", "class_key"], "left_anti"), "others")
+    own = sketches.join(hinted(others), ["doc_id", "class_key"], "left_anti")
     rows_ = own.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("m")).select("bucket", _masked(F.col("m"), F.col("bucket")).alias("m"))
     unmask = lambda c: _masked(F.col(c), F.col("bucket"))
     # The first meeting, of all buckets: minimum and maximum are found by partial aggregation,
