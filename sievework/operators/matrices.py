@@ -125,8 +125,9 @@ def previews(cleaned_texts: DataFrame, n: int = 20) -> DataFrame:
 NO_CONTEXT, NO_LABELS = "Найденный контекст отсутствует.", "Метки эталонной релевантности недоступны для этого JSONL."
 
 
-def judge_context(retrieved: Column) -> Column:
-    """The retrieved chunks with their labels, as a judge reads them."""
+def judge_context(retrieved: Column, labels: bool = True) -> Column:
+    """The retrieved chunks with their labels, as a judge reads them; without ``labels`` in the
+    records a note says so first."""
     label = lambda r: F.coalesce(r["relevance_label"], F.when(r["is_gold_relevant"], "gold_relevant").otherwise("unknown"))
     none = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
 
@@ -136,7 +137,8 @@ def judge_context(retrieved: Column) -> Column:
             F.lit("\nИсточник: source_code="), none(r["source_code"]), F.lit(", external_id="), none(r["external_id"]), F.lit(", chunk_i="), none(r["chunk_i"]), F.lit("\nТекст:\n"), F.trim(F.coalesce(r["text"], F.lit(""))),
         )
 
-    return F.when(F.size(F.coalesce(retrieved, F.array())) == 0, NO_CONTEXT).otherwise(F.array_join(F.transform(retrieved, part), "\n\n"))
+    parts = F.array_join(F.transform(retrieved, part), "\n\n")
+    return F.when(F.size(F.coalesce(retrieved, F.array())) == 0, NO_CONTEXT).otherwise(parts if labels else F.concat(F.lit(f"{NO_LABELS}\n\n"), parts))
 
 
 def yes_probability(yes: Column, no: Column) -> Column:
