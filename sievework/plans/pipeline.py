@@ -103,9 +103,13 @@ def registry_indexed(spark, sf):
     return matrices.marked_indexed(rows, done, now).groupBy("kind").agg(F.count_if(F.col("indexed_at") == now).alias("marked"), F.count("*").alias("n"))
 
 
+#: A page without a word has no main text of its own.
+WORD = "[0-9A-Za-zА-Яа-яЁё]"
+
+
 def _pages(spark, sf):
     """Documents as pages: title, navigation to be left out, the text as paragraphs, a link."""
-    d = spread(load(spark, sf, "documents").select("doc_id", "title", "text", "url")).filter("text is not null")
+    d = spread(load(spark, sf, "documents").select("doc_id", "title", "text", "url")).filter(F.col("text").rlike(WORD))
     page = F.concat(
         F.lit("<html><head><title>"), html_escape(F.coalesce("title", F.lit(""))), F.lit('</title><style>p {}</style></head><body><nav>menu</nav><div class="page-content__center"><p>'),
         F.array_join(F.transform(F.split("text", "\r\n|\n|\r", -1), html_escape), "</p><p>"), F.lit('</p><a href="'), html_escape(F.coalesce("url", F.lit("#"))), F.lit('"></a></div></body></html>'),
@@ -197,9 +201,9 @@ select *, cast(row_number() over (order by hit, source) as integer) as place fro
     "acceptance_upsert": "select user_id, event_type, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
     "event_log_append": "select event_type, count(*) as rows, count(distinct event_id) as ids from events where event_id % 3 <> 0 or event_id % 2 = 0 group by event_type",
     "registry_indexed": "select kind, count_if(id in (select doc_id from local_document)) as marked, count(*) as n from rag_doc group by kind",
-    "html_title": "select doc_id, left(nullif(trim(regexp_replace(coalesce(title, ''), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{2028}\\x{2029}\\x{3000}]+', ' ', 'g')), ''), 800) as title from documents where text is not null",
-    "html_words": "select doc_id, array_to_string(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё]+'), ' ') as words from documents where text is not null",
-    "html_links": "select doc_id, url as link from documents where text is not null and url like 'http%'",
+    "html_title": "select doc_id, left(nullif(trim(regexp_replace(coalesce(title, ''), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{2028}\\x{2029}\\x{3000}]+', ' ', 'g')), ''), 800) as title from documents where regexp_matches(text, '[0-9A-Za-zА-Яа-яЁё]')",
+    "html_words": "select doc_id, array_to_string(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё]+'), ' ') as words from documents where regexp_matches(text, '[0-9A-Za-zА-Яа-яЁё]')",
+    "html_links": "select doc_id, url as link from documents where regexp_matches(text, '[0-9A-Za-zА-Яа-яЁё]') and url like 'http%'",
 }
 
 QUERIES = {
